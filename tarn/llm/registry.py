@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import sharding
+from tarn.llm import piece, sharding
 from tarn.sources import read_table
 
 
@@ -14,8 +15,12 @@ def op1_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"), shards=40)
 
 
+def op5_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece.encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lpt_sharding,)}
+    return {f.__name__: f for f in (op1_lpt_sharding, op5_piece_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
