@@ -20,6 +20,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -262,7 +263,7 @@ def encoder(model: str, memory: int = MEMORY, check: bool = True) -> PieceEncode
 
 def slices(texts: pa.Array, at_most: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Runs of rows of at most so many bytes (but one row at least)."""
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0), "int64")
+    lengths = np.asarray(pc.fill_null(pc.binary_length(texts), 0), "int64")
     start, held = 0, 0
     for i, n in enumerate(lengths):
         if held and held + n > at_most:
