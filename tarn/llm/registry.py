@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import piece, sharding
+from tarn.llm import piece, sharding, tokenfiles
+from tarn.session import shared_dir
 from tarn.sources import read_table
 
 
@@ -19,8 +21,14 @@ def op5_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece.encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    tokenfiles.write_tokens(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return tokenfiles.read_tokens(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lpt_sharding, op5_piece_round_trip)}
+    return {f.__name__: f for f in (op1_lpt_sharding, op5_piece_round_trip, op8_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
