@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import piece, sharding, tokenfiles
+from tarn.llm import minhash, piece, sharding, tokenfiles
 from tarn.session import shared_dir
 from tarn.sources import read_table
 
@@ -21,6 +21,10 @@ def op5_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece.encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     tokenfiles.write_tokens(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
@@ -28,7 +32,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lpt_sharding, op5_piece_round_trip, op8_token_files)}
+    return {f.__name__: f for f in (op1_lpt_sharding, op5_piece_round_trip, op7_circulant_minhash, op8_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
