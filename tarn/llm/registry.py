@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tarn.llm import minhash, piece, sharding, tokenfiles
+from tarn.llm import ann, hamming, minhash, piece, sharding, tokenfiles
 from tarn.session import shared_dir
 from tarn.sources import read_table
 
@@ -17,10 +18,19 @@ def op1_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"), shards=40)
 
 
+def op2_multi_index_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = hamming.sign_codes(read_table(spark, sf_dir, "embeddings"))
+    return hamming.nearest_codes(codes, F.col("vec_id") % 100 == 0, k=10)
+
+
 def op5_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece.encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_vectors(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -32,7 +42,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lpt_sharding, op5_piece_round_trip, op7_circulant_minhash, op8_token_files)}
+    return {f.__name__: f for f in (op1_lpt_sharding, op2_multi_index_hamming, op5_piece_round_trip, op6_ivf_pq, op7_circulant_minhash, op8_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
