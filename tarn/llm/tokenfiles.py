@@ -53,33 +53,36 @@ class TokenEncoder:
         self.library = tokenizers.Tokenizer.from_file(path)
         self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        special = [(i, t.content) for i, t in self.library.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
+        self.separator_id, self.separator = special[0] if special else (None, None)
         form = str(self.library.pre_tokenizer)
         self.split = form.startswith("ByteLevel(") and "use_regex=True" in form and "add_prefix_space=False" in form and self.library.normalizer is None
         self.memory, self.known = memory, {}
 
-    def parts(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if not self.split or any(a in text for a in self.added):
-            return [text]
-        return PIECE.findall(text)
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids as little-endian unsigned integers of self.width bytes."""
-        cut = [self.parts(t or "") for t in texts]
+        whole = {t for t in texts if t and (not self.split or any(a in t for a in self.added))}
+        cut = [[t] if t in whole else PIECE.findall(t or "") for t in texts]
         if len(self.known) > self.memory:
             self.known = {}
         known, fresh = self.known, list(set(chain.from_iterable(cut)).difference(self.known))
         kind, long = f"<u{self.width}", {}
-        for start in range(0, len(fresh), 50_000):
-            some = fresh[start : start + 50_000]
-            found = [e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
-            ids = np.fromiter(chain.from_iterable(found), kind).tobytes()
+        odd = [s for s in fresh if s in whole] if self.separator else fresh
+        plain = [s for s in fresh if s not in whole] if self.separator else []
+        for start in range(0, len(plain), 20_000):
+            # many pieces in one text, apart by a special token: the library encodes what is between them by itself
+            some = plain[start : start + 20_000]
+            joined = [self.separator.join(some[k : k + 2_000]) + self.separator for k in range(0, len(some), 2_000)]
+            found = [e.ids for e in self.library.encode_batch_fast(joined, add_special_tokens=False)]
+            ids = np.fromiter(chain.from_iterable(found), "<u4")
+            stops = np.flatnonzero(ids == self.separator_id)
+            ids = ids.astype(kind).tobytes()
             at = 0
-            for s, n in zip(some, map(len, found), strict=True):
-                end = at + n * self.width
-                (known if len(s) <= LONGEST else long)[s] = ids[at:end]
-                at = end
+            for s, stop in zip(some, (stops * self.width).tolist(), strict=True):
+                (known if len(s) <= LONGEST else long)[s] = ids[at:stop]
+                at = stop + self.width
+        for s, e in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False) if odd else [], strict=True):
+            (known if len(s) <= LONGEST else long)[s] = np.array(e.ids, kind).tobytes()
         if not long:
             return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
         return [b"".join(known[p] if p in known else long[p] for p in pieces) for pieces in cut]
@@ -140,7 +143,7 @@ class Segment:
         return found
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, documents: int = 1_000, sample_bytes: int = 4_000_000, size: int = 65_536) -> bytes:
+def train_dictionary(docs: DataFrame, tokenizer: str, documents: int = 500, sample_bytes: int = 4_000_000, size: int = 65_536) -> bytes:
     """A dictionary from the ids of a bounded sample: the documents of smallest hash, until sample_bytes of ids.
 
     Where the sample is too small to train on, there is none (empty bytes) and frames are compressed without one.
