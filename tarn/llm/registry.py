@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import ann, hamming, minhash, piece, sharding, tokenfiles
+from tarn.llm import ann, hamming, minhash, piece, quality, sharding, tokenfiles
 from tarn.session import shared_dir
 from tarn.sources import read_table
 
@@ -41,8 +41,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_tokens(spark, path)
 
 
+def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lpt_sharding, op2_multi_index_hamming, op5_piece_round_trip, op6_ivf_pq, op7_circulant_minhash, op8_token_files)}
+    return {f.__name__: f for f in (op1_lpt_sharding, op2_multi_index_hamming, op5_piece_round_trip, op6_ivf_pq, op7_circulant_minhash, op8_token_files, op9_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
