@@ -6,8 +6,9 @@ least position. Bands of consecutive coordinates make the buckets; links are con
 
 No bucket is expanded into its pairs. Equal sets are one node from the start. Then each bucket's nodes are compared with
 the bucket's least node, and linked nodes become components. What is left are pairs of different components within a
-bucket; these are compared by signature, in blocks of bounded size, and only those that may reach the threshold are
-confirmed on full sets. So a large group of near copies costs its nodes, not their pairs, and no link between two
+bucket; these are compared by signature, in blocks of bounded size: first each node proposes its nearest one of another
+component in its block, which joins most of a group, and then all pairs that still cross components and may reach the
+threshold are confirmed on full sets. So a large group of near copies costs its nodes, not their pairs, and no link between two
 components is lost.
 
 With 32 bands of 4 rows a pair at similarity 0.75 shares no bucket with probability 5e-6, and one at 0.85 with 5e-11.
@@ -121,8 +122,11 @@ def _confirm(percent: int):
     return run
 
 
-def _compare(percent: int):
-    """Pairs of a bucket's blocks that may be links: rows sorted by bucket and pair of blocks."""
+def _compare(percent: int, nearest: bool):
+    """Pairs of a bucket's blocks that may be links and would join two components: rows sorted by bucket and blocks.
+
+    nearest: of each node's pairs only the one of most agreeing coordinates.
+    """
 
     def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(rows).combine_chunks()
@@ -130,15 +134,20 @@ def _compare(percent: int):
         one, two, pivot, band = (table.column(c)[0].as_py() for c in ("one", "two", "pivot", "band"))
         sign = np.frombuffer(b"".join(table.column("signature").to_pylist()), "uint32").reshape(len(node), COORDINATES)
         left, right = (np.flatnonzero((block == k) & (node != pivot)) for k in (one, two))
-        found: list[tuple[int, int]] = []
+        found: set[tuple[int, int]] = set()
         for i in left:
-            j = right[(right > i) if one == two else slice(None)]
+            j = right if nearest or one != two else right[right > i]
             j = j[(component[j] != component[i]) & (100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i]))]
             if len(j):
                 same = sign[j] == sign[i]
                 first = same.reshape(len(j), BANDS, ROWS).all(2).argmax(1) == band  # once for each pair
-                found += [(int(node[i]), int(node[x])) for x in j[first & (same.sum(1) >= AGREE)]]
-        return pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], names=["a", "b"])
+                agree = np.where(first, same.sum(1), 0)
+                if nearest:
+                    j = j[[agree.argmax()]] if agree.max() >= AGREE else j[:0]
+                else:
+                    j = j[agree >= AGREE]
+                found.update((min(x, y), max(x, y)) for x, y in zip([int(node[i])] * len(j), node[j].tolist(), strict=True))
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -161,6 +170,23 @@ def _compare(percent: int):
     return run
 
 
+def _across(members: DataFrame, groups: DataFrame, about: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of one bucket but two components that may be links, other than those with the bucket's pivot.
+
+    nearest: within blocks only, and the most alike for each node; else all, between all of a bucket's blocks.
+    """
+    grouped = members.where("members > 2").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    grouped = scratch(grouped, "grouped")
+    mixed = grouped.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    rest = grouped.join(mixed.where("low != high").select("key"), "key").join(about, "node")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("node", "key"), blocks).cast("int"))
+    rest = rest.withColumn("with", F.col("block") if nearest else F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rest = rest.select("key", "band", "pivot", "node", "component", "n_shingles", "signature", "block", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"))
+    rest = rest.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
+    return scratch(rest.mapInArrow(_compare(percent, nearest), "a long, b long").distinct(), "more-pairs")
+
+
 def _verify(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
@@ -193,19 +219,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, doc_id: str = "doc_id",
     links = scratch(_verify(first, sets, percent), "first-links")
     groups = components(links)
 
-    grouped = members.where("members > 2").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    grouped = scratch(grouped, "grouped")
-    mixed = grouped.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    rest = grouped.join(mixed.where("low != high").select("key"), "key").join(about, "node")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    rest = rest.withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rest = rest.select("key", "band", "pivot", "node", "component", "n_shingles", "signature", "block", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"))
-    rest = rest.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
-    second = scratch(rest.mapInArrow(_compare(percent), "a long, b long"), "second-pairs")
-    more = scratch(_verify(second, sets, percent), "second-links")
-    if not more.isEmpty():
-        groups = components(links.union(more))
+    for nearest in (True, False):
+        more = scratch(_verify(_across(members, groups, about, percent, nearest), sets, percent), "more-links")
+        if not more.isEmpty():
+            links = links.union(more)
+            groups = components(links)
 
     placed = sketches.select("doc_id", "n_shingles", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = scratch(placed, "placed")

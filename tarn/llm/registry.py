@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import ann, hamming, minhash, piece, quality, sharding, tokenfiles
+from tarn.llm import ann, hamming, minhash, mixing, piece, quality, sharding, tokenfiles
 from tarn.session import shared_dir
 from tarn.sources import read_table
 
@@ -45,9 +45,27 @@ def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op10_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lpt_sharding, op2_multi_index_hamming, op5_piece_round_trip, op6_ivf_pq, op7_circulant_minhash, op8_token_files, op9_importance_resampling)}
+    return {f.__name__: f for f in (op1_lpt_sharding, op2_multi_index_hamming, op5_piece_round_trip, op6_ivf_pq, op7_circulant_minhash, op8_token_files, op9_importance_resampling, op10_hierarchical_mixing)}
+
+
+#: Nearest codes by comparing the signs of all pairs of a query and a row.
+HAMMING_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding[1:64], lambda x: x > 0) AS s FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(len(list_filter(list_zip(q.s, c.s), lambda z: z[1] <> z[2])) AS INTEGER) AS distance
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank, vec_id, distance FROM pairs
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) <= 10
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_multi_index_hamming": HAMMING_SQL, "op10_hierarchical_mixing": mixing.mix_sql()}
