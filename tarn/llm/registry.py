@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import ann, hamming, minhash, mixing, pii, piece, quality, sharding, tokenfiles
+from tarn.llm import ann, chat, hamming, minhash, mixing, pii, piece, quality, sharding, tokenfiles
 from tarn.session import shared_dir
 from tarn.sources import read_table
 
@@ -23,6 +23,10 @@ def op2_multi_index_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.nearest_codes(codes, F.col("vec_id") % 100 == 0, k=10)
 
 
+def op3_transcript_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(read_table(spark, sf_dir, "conversations"))
+
+
 #: The key of the registered query; a user's own is secret.
 PII_KEY = "tarn-demonstration-key"
 
@@ -59,7 +63,7 @@ def op10_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lpt_sharding, op2_multi_index_hamming, op4_feistel_pseudonyms, op5_piece_round_trip, op6_ivf_pq, op7_circulant_minhash, op8_token_files, op9_importance_resampling, op10_hierarchical_mixing)}
+    return {f.__name__: f for f in (op1_lpt_sharding, op2_multi_index_hamming, op3_transcript_hmm, op4_feistel_pseudonyms, op5_piece_round_trip, op6_ivf_pq, op7_circulant_minhash, op8_token_files, op9_importance_resampling, op10_hierarchical_mixing)}
 
 
 #: Nearest codes by comparing the signs of all pairs of a query and a row.
