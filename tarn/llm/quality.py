@@ -26,6 +26,10 @@ from tarn.sources import scratch
 BUCKETS = 1 << 16
 SAMPLE = 20_000
 SEED = 17
+#: Counts of the raw model that smooth the target's.
+PRIOR = 8 * BUCKETS
+#: The cut keeps at least this share of the good documents on trial.
+KEEP = 0.99
 _SHIFT = np.uint64(48)
 
 
@@ -76,17 +80,17 @@ def labelled(labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", qu
 
 
 def ratio(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """Log of target over raw probability for each bucket, with one added to each count; docs has doc_id and text."""
+    """Log of target over raw probability for each bucket, the target smoothed by the raw model; docs has doc_id and text."""
     wanted = F.coalesce(F.col("good") & F.col("fits"), F.lit(False)).alias("target")
     rows = docs.join(F.broadcast(labels), docs["doc_id"] == labels["label_id"], "left").select("text", wanted)
     counts = rows.mapInArrow(_count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
+    raw, target = np.ones(BUCKETS), np.zeros(BUCKETS)
     for row in counts.toLocalIterator():  # at most BUCKETS rows
         raw[row["bucket"]] += row["raw"]
         target[row["bucket"]] += row["target"]
-    if target.sum() == BUCKETS:  # nothing is labelled good
-        return np.zeros(BUCKETS)
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+    raw /= raw.sum()
+    # PRIOR counts follow the raw model, so what a small sample says little about has a weight near one
+    return np.log((target + PRIOR * raw) / (target.sum() + PRIOR)) - np.log(raw)
 
 
 def weigher(table: np.ndarray):
@@ -109,7 +113,7 @@ def gumbel(seed: int, *columns: str) -> Column:
 
 
 def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
-    """The cut that keeps most of good and rejects most of bad, as shares; in the middle where many are as well."""
+    """The cut that keeps most of good (KEEP at least) and rejects most of bad, as shares; ties: the middle one."""
     if not len(bad):
         return -np.inf
     if not len(good):
@@ -118,7 +122,7 @@ def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
     middles = np.concatenate([[at[0] - 1], (at[1:] + at[:-1]) / 2])
     kept = 1 - np.searchsorted(np.sort(good), middles) / len(good)
     rejected = np.searchsorted(np.sort(bad), middles) / len(bad)
-    score = kept + rejected
+    score = np.where(kept >= KEEP, kept + rejected, -1)
     return float(middles[int(np.flatnonzero(score == score.max()).mean())])
 
 
