@@ -6,14 +6,13 @@ least position. Bands of consecutive coordinates make the buckets; links are con
 
 No bucket is expanded into its pairs. Equal sets are one node from the start. Then each bucket's nodes are compared with
 the bucket's least node, and linked nodes become components. What is left are pairs of different components within a
-bucket; these are compared by signature, in blocks of bounded size: first each node proposes its nearest one of another
-component in its block, which joins most of a group, and then all pairs that still cross components and may reach the
-threshold are confirmed on full sets. So a large group of near copies costs its nodes, not their pairs, and no link between two
-components is lost.
+bucket; these are compared in blocks of bounded size, by sets of 32-bit hashes, which give an upper bound of the
+similarity. First each node proposes its nearest one of another component in its block, which joins most of a group;
+then all pairs are proposed that still cross components and may reach the threshold. Proposals are confirmed on full
+sets. So a large group of near copies moves its nodes and their links between components, not its pairs, and no link
+between two components is lost.
 
 With 32 bands of 4 rows a pair at similarity 0.75 shares no bucket with probability 5e-6, and one at 0.85 with 5e-11.
-The signature test passes every pair that agrees in at least half of the 128 coordinates: at 0.75 a pair fails it with
-probability 1e-9.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.components import components
@@ -31,9 +30,9 @@ from tarn.sources import scratch
 
 ROWS, BANDS = 4, 32
 COORDINATES = ROWS * BANDS
-#: Agreeing coordinates from which a pair is worth confirming.
-AGREE = COORDINATES // 2
 BLOCK = 256
+#: Columns of a block's incidence matrix that are held at once.
+COLUMNS = 4_096
 _u = np.uint32
 
 
@@ -78,24 +77,20 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values, offsets = distinct(*shingle_hashes(*word_hashes(part.column(1))))
             sizes = np.diff(offsets)
             full = np.flatnonzero(sizes)
-            node, sign, keys = np.zeros(len(sizes), "int64"), np.zeros((0, COORDINATES), "uint32"), np.zeros((0, BANDS), "int64")
+            node, keys = np.zeros(len(sizes), "int64"), np.zeros((0, BANDS), "int64")
             if len(full):
                 starts = offsets[:-1][full]
                 sums = np.add.reduceat(mix(values), starts)
                 node[full] = mix(sums * np.uint64(31) + sizes[full].astype("uint64")).view("int64")
-                sign = signatures(values, np.append(starts, len(values)))
-                keys = bands(sign)
+                keys = bands(signatures(values, np.append(starts, len(values))))
             none = sizes == 0
-            blobs: list[bytes | None] = [None] * len(sizes)
-            for k, row in zip(full.tolist(), sign, strict=True):
-                blobs[k] = row.tobytes()
             counts = np.append(0, np.cumsum(np.where(none, 0, BANDS))).astype("int32")
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column(0), pa.array(sizes, pa.int64()), pa.array(node, pa.int64(), mask=none), part.column(2),
-                    pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(keys.ravel(), pa.int64())), pa.array(blobs, pa.binary()),
+                    part.column(0), part.column(3), pa.array(sizes, pa.int64()), pa.array(node, pa.int64(), mask=none), part.column(2),
+                    pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(keys.ravel(), pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "node", "text_key", "keys", "signature"],
+                names=["doc_id", "row_key", "n_shingles", "node", "text_key", "keys"],
             )
 
 
@@ -103,8 +98,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch, 1):
             values, offsets = distinct(*shingle_hashes(*word_hashes(part.column(1))))
-            rows = [values[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], names=["node", "shingles"])
+            rows = [values[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            short = [np.unique((r >> np.uint64(32)).astype("uint32")).tobytes() for r in rows]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(short, pa.binary())], names=["node", "shingles", "short"])
 
 
 def _confirm(percent: int):
@@ -122,31 +118,52 @@ def _confirm(percent: int):
     return run
 
 
+def common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets[left] with sets[right]."""
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    often = np.bincount(column) > 1
+    place = np.cumsum(often) - 1
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    row, column = row[often[column]], place[column[often[column]]]
+    by = np.argsort(column, kind="stable")
+    row, column = row[by], column[by]
+    out = np.zeros((len(left), len(right)), "float32")
+    for start in range(0, int(often.sum()), COLUMNS):
+        a, b = np.searchsorted(column, (start, start + COLUMNS))
+        held = np.zeros((len(sets), COLUMNS), "float32")
+        held[row[a:b], column[a:b] - start] = 1
+        out += held[left] @ held[right].T
+    return out.astype("int64")
+
+
 def _compare(percent: int, nearest: bool):
     """Pairs of a bucket's blocks that may be links and would join two components: rows sorted by bucket and blocks.
 
-    nearest: of each node's pairs only the one of most agreeing coordinates.
+    nearest: of each node's pairs only the most alike one.
     """
 
     def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(rows).combine_chunks()
         node, component, size, block = (table.column(c).to_numpy() for c in ("node", "component", "n_shingles", "block"))
         one, two, pivot, band = (table.column(c)[0].as_py() for c in ("one", "two", "pivot", "band"))
-        sign = np.frombuffer(b"".join(table.column("signature").to_pylist()), "uint32").reshape(len(node), COORDINATES)
-        left, right = (np.flatnonzero((block == k) & (node != pivot)) for k in (one, two))
         found: set[tuple[int, int]] = set()
-        for i in left:
-            j = right if nearest or one != two else right[right > i]
-            j = j[(component[j] != component[i]) & (100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i]))]
-            if len(j):
-                same = sign[j] == sign[i]
-                first = same.reshape(len(j), BANDS, ROWS).all(2).argmax(1) == band  # once for each pair
-                agree = np.where(first, same.sum(1), 0)
-                if nearest:
-                    j = j[[agree.argmax()]] if agree.max() >= AGREE else j[:0]
-                else:
-                    j = j[agree >= AGREE]
-                found.update((min(x, y), max(x, y)) for x, y in zip([int(node[i])] * len(j), node[j].tolist(), strict=True))
+        left, right = (np.flatnonzero((block == k) & (node != pivot)) for k in (one, two))
+        if len(left) and len(right) and len(np.unique(component)) > 1:
+            keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(node), BANDS)
+            sets = [np.frombuffer(x, "uint32") for x in table.column("short").to_pylist()]
+            lost = size - np.array([len(x) for x in sets])  # shingles that share their 32 bits with another of the set
+            both = common(sets, left, right) + np.minimum.outer(lost[left], lost[right])
+            total = size[left][:, None] + size[right][None] - both
+            alike = (100 * both >= percent * total) & (component[left][:, None] != component[right][None])
+            for i, j in zip(*np.nonzero(alike), strict=True):
+                # once for each pair: in its first bucket
+                alike[i, j] = (keys[left[i]] == keys[right[j]]).argmax() == band
+            score = np.where(alike, both / total, 0)
+            if nearest:
+                at = [(i, int(score[i].argmax())) for i in np.flatnonzero(alike.any(1))]
+            else:
+                at = list(zip(*np.nonzero(alike), strict=True))
+            found.update((min(x, y), max(x, y)) for x, y in ((int(node[left[i]]), int(node[right[j]])) for i, j in at))
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,11 +199,16 @@ def _across(members: DataFrame, groups: DataFrame, about: DataFrame, percent: in
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("node", "key"), blocks).cast("int"))
     rest = rest.withColumn("with", F.col("block") if nearest else F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rest = rest.select("key", "band", "pivot", "node", "component", "n_shingles", "signature", "block", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"))
+    rest = rest.select("key", "band", "pivot", "node", "component", "n_shingles", "keys", "short", "block", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"))
     rest = rest.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
     return scratch(rest.mapInArrow(_compare(percent, nearest), "a long, b long").distinct(), "more-pairs")
 
 
+def row_key(doc_id: str, text: str) -> Column:
+    """A row's identity: a 64-bit hash of its doc_id and text, nulls included."""
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text), F.col(doc_id).isNull(), F.col(text).isNull())
+
+
 def _verify(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
@@ -197,25 +219,27 @@ def near_duplicates(docs: DataFrame, percent: int = 75, doc_id: str = "doc_id",
     """Groups of documents whose sets of 5-word shingles are alike, directly or through others.
 
     Links hold where 100 * intersection >= percent * union. Returns one row per document: doc_id, n_shingles,
-    component_id (the smallest doc_id of its group), kept (doc_id is that one). Defined cases: a text of fewer than five
+    component_id (the smallest doc_id of its group), kept (doc_id is that one), and row_key and component for joining the
+    result to its rows. Defined cases: a text of fewer than five
     words has its whole sequence as one shingle; a null, empty or blank text has none, is linked with nothing and kept;
     repeated rows are in one group and each keeps its row; a null doc_id takes part, and is kept only in a group without
     any other; other columns are ignored; an empty table gives no rows. Nodes are told apart by a 64-bit hash of the set.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_key"))
-    sketches = scratch(rows.mapInArrow(_sketch, "doc_id long, n_shingles long, node long, text_key long, keys array<long>, signature binary"), "sketches")
-    nodes = scratch(sketches.where("node is not null").drop("doc_id").dropDuplicates(["node"]), "nodes")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_key"), row_key(doc_id, text).alias("row_key"))
+    sketches = scratch(rows.mapInArrow(_sketch, "doc_id long, row_key long, n_shingles long, node long, text_key long, keys array<long>"), "sketches")
+    nodes = scratch(sketches.where("node is not null").drop("doc_id", "row_key").dropDuplicates(["node"]), "nodes")
     keys = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     buckets = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).where("members > 1")
     members = scratch(keys.join(buckets, "key"), "members")
-    about = nodes.select("node", "n_shingles", "signature")
+    about = nodes.select("node", "n_shingles")
     first = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     other = about.select(F.col("node").alias("a"), F.col("n_shingles").alias("of_a"))
     first = first.join(about.select(F.col("node").alias("b"), F.col("n_shingles").alias("of_b")), "b").join(other, "a")
     first = scratch(first.where(100 * F.least("of_a", "of_b") >= percent * F.greatest("of_a", "of_b")).select("a", "b"), "first-pairs")
     wanted = members.select("node").distinct().join(nodes.select("node", "text_key"), "node")
     sets = wanted.join(rows.select("text_key", "text"), "text_key").dropDuplicates(["node"]).select("node", "text")
-    sets = scratch(sets.mapInArrow(_sets, "node long, shingles binary"), "sets")
+    sets = scratch(sets.mapInArrow(_sets, "node long, shingles binary, short binary"), "sets")
+    about = nodes.select("node", "n_shingles", "keys").join(sets.select("node", "short"), "node")
     links = scratch(_verify(first, sets, percent), "first-links")
     groups = components(links)
 
@@ -225,9 +249,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75, doc_id: str = "doc_id",
             links = links.union(more)
             groups = components(links)
 
-    placed = sketches.select("doc_id", "n_shingles", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = sketches.select("doc_id", "row_key", "n_shingles", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = scratch(placed, "placed")
     least = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = placed.join(least, "component", "left")
     chosen = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", chosen.alias("component_id"), F.col("doc_id").eqNullSafe(chosen).alias("kept"))
+    return out.select("doc_id", "n_shingles", chosen.alias("component_id"), F.col("doc_id").eqNullSafe(chosen).alias("kept"), "row_key", "component")
+
+
+def one_each(docs: DataFrame, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with all their columns, but one row of each group: that of its smallest doc_id.
+
+    Rows with the same doc_id and text count once, also those without words; a group without any doc_id keeps one row.
+    """
+    found = near_duplicates(docs, percent, doc_id, text).where("kept")
+    grouped = found.where("component is not null").groupBy("component").agg(F.min("row_key").alias("_key")).select("_key")
+    alone = found.where("component is null").select(F.col("row_key").alias("_key")).distinct()
+    rows = docs.withColumn("_key", row_key(doc_id, text)).join(grouped.union(alone), "_key", "left_semi")
+    return rows.dropDuplicates(["_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
