@@ -1 +1,3 @@
+from tarn.functions.scalars import bucket, canonical, has_tokens, hour_of, hour_of_week, salted, search_tokens, week_of, whole_match
 
+__all__ = ["bucket", "canonical", "has_tokens", "hour_of", "hour_of_week", "salted", "search_tokens", "week_of", "whole_match"]
