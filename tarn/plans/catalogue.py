@@ -218,11 +218,11 @@ def _series() -> None:
 
     def week_hours(s: SparkSession, d: str) -> DataFrame:
         cells = rollups.build(events(s, d), Aggregate(date="date"), entity("event"), F.lit(None).cast("timestamp"))
-        return cells.select(week_of(F.col("hour")).cast("date").alias("week"), hour_of_week(F.col("hour")).alias("hour_of_week"), "value")
+        return cells.select(week_of(F.col("hour")).cast("date").cast("string").alias("week"), hour_of_week(F.col("hour")).alias("hour_of_week"), "value")
 
     _register(
         "week_hour_cells", week_hours,
-        "SELECT CAST(date_trunc('week', ts) AS DATE) AS week, CAST(date_diff('hour', CAST(date_trunc('week', ts) AS TIMESTAMP), CAST(date_trunc('hour', ts) AS TIMESTAMP)) AS INTEGER) AS hour_of_week, CAST(count(*) AS DOUBLE) AS value FROM events GROUP BY 1, 2",
+        "SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, CAST(date_diff('hour', CAST(date_trunc('week', ts) AS TIMESTAMP), CAST(date_trunc('hour', ts) AS TIMESTAMP)) AS INTEGER) AS hour_of_week, CAST(count(*) AS DOUBLE) AS value FROM events GROUP BY 1, 2",
     )
     bucket = "CASE " + " ".join(f"WHEN value < {b} THEN 'i{i}'" for i, b in enumerate(BOUNDS)) + f" ELSE 'i{len(BOUNDS)}' END"
     histogram = next(a for a in entity("event").aggregates if a.metric == "histogram")
@@ -268,7 +268,7 @@ def _writes() -> None:
     folded = lambda name: lambda s, d: rollups.totals(writes.from_log(_log(s, d), rollup(name), entity("order")), rollup(name))
     _register("running_min_after_rewrite", folded("min_total_by_priority"), _NEW + "SELECT priority AS grp, min(total) AS value FROM (SELECT * FROM log UNION ALL SELECT * FROM new) GROUP BY 1")
     _register("running_max_after_rewrite", folded("max_total_by_priority"), _NEW + "SELECT priority AS grp, max(total) AS value FROM (SELECT * FROM log UNION ALL SELECT * FROM new) GROUP BY 1")
-    _register("sum_after_rewrite", lambda s, d: rounded(folded("sum_total_by_priority")(s, d), 2), _NEW + "SELECT priority AS grp, round(sum(total), 2) AS value FROM new GROUP BY 1")
+    _register("sum_after_rewrite", lambda s, d: rounded(folded("sum_total_by_priority")(s, d), 3), _NEW + "SELECT priority AS grp, round(sum(total), 3) AS value FROM new GROUP BY 1")
     _register("count_after_move", folded("by_status"), _NEW + "SELECT status AS grp, CAST(count(*) AS DOUBLE) AS value FROM new GROUP BY 1")
 
     def cells(s: SparkSession, d: str) -> DataFrame:

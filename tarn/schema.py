@@ -147,7 +147,7 @@ class Entity:
                 raise DefinitionFault("invalid_shards", aggregate=a.name)
 
     def to_json(self) -> str:
-        fields = [{k: (v.label if k == "type" else v) for k, v in asdict(f).items() if v not in (None, False)} | {"type": f.type.label} for f in self.fields]
+        fields = [{k: (v.label if k == "type" else v) for k, v in asdict(f).items() if v is not None and v is not False} | {"type": f.type.label} for f in self.fields]
         aggregates = [{k: v for k, v in asdict(a).items() if v is not None} for a in self.aggregates]
         return json.dumps({"entity": self.name, "version": self.version, "fields": fields, "aggregates": aggregates}, indent=1, default=str)
 
