@@ -38,7 +38,7 @@ def _share(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
     n = n.withColumn("open_weight", (F.sum("weight").over(siblings) - F.coalesce(F.sum("weight").over(before), F.lit(0))).cast(EXACT))
     n = n.withColumn("full", (F.col("weight") == 0) | (F.col("cap") * F.col("open_weight") <= F.col("weight") * F.col("left")))
     # the first sibling that is not full sets the waterline for all that follow
-    n = n.withColumn("full", F.min(F.col("full").cast("int")).over(filled.rowsBetween(Window.unboundedPreceding, 0)) == 1)
+    n = n.withColumn("full", (F.col("weight") == 0) | (F.min(F.col("full").cast("int")).over(filled.rowsBetween(Window.unboundedPreceding, 0)) == 1))
     n = n.withColumn("rest", (F.col("budget").cast(EXACT) - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0).cast(EXACT)).over(siblings)).cast(EXACT))
     n = n.withColumn("over", F.sum(F.when(~F.col("full"), F.col("weight")).otherwise(0).cast(EXACT)).over(siblings).cast(EXACT))
     part = F.expr("CAST(weight * rest AS decimal(38,0)) div over")
@@ -50,7 +50,7 @@ def _share(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
 
 
 def budgets(leaves: DataFrame, levels: list[str], weights: dict[str, dict[str, int]], budget: Column | int, epochs: int) -> DataFrame:
-    """leaves: the levels and tokens. Returns the levels, tokens and alloc of each leaf.
+    """leaves: the levels and tokens. Returns the levels, tokens, alloc and live (no weight is 0) of each leaf.
 
     weights: for each level the whole-numbered weight of each value; those not named have 1.
     """
@@ -62,7 +62,7 @@ def budgets(leaves: DataFrame, levels: list[str], weights: dict[str, dict[str, i
     live = F.lit(True)
     for level in levels:
         live = live & (F.col(f"w_{level}") > 0)
-    tree = tree.withColumn("cap", F.when(live, F.col("tokens") * epochs).otherwise(0))
+    tree = tree.withColumn("live", live).withColumn("cap", F.when(live, F.col("tokens") * epochs).otherwise(0))
     total = F.lit(budget) if isinstance(budget, int) else budget
     tree = tree.withColumn("alloc", total.cast("long"))
     for depth, level in enumerate(levels):
@@ -70,7 +70,7 @@ def budgets(leaves: DataFrame, levels: list[str], weights: dict[str, dict[str, i
         nodes = tree.groupBy(*keys).agg(F.first(f"w_{level}").alias("weight"), F.sum("cap").alias("cap"), F.first("alloc").alias("budget"))
         shared = _share(nodes, levels[:depth], level).select(*keys, F.col("alloc"))
         tree = tree.drop("alloc").join(shared, keys)
-    return tree.select(*levels, "tokens", "alloc")
+    return tree.select(*levels, "tokens", "alloc", "live")
 
 
 def count_words(text: Column) -> Column:
@@ -93,7 +93,7 @@ class Mix:
         leaves = scratch(self.rows.groupBy(*self.names).agg(F.sum("n_tokens").alias("tokens")), "mix-leaves")
         total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
         shared = budgets(leaves, self.names, weights, int(total * share), epochs)
-        shared = shared.withColumn("whole", F.when(F.col("tokens") > 0, F.expr("alloc div tokens")).otherwise(0))
+        shared = shared.withColumn("whole", F.when(F.col("tokens") > 0, F.expr("alloc div tokens")).otherwise(F.col("live").cast("long")))
         shared = shared.withColumn("part", F.when(F.col("tokens") > 0, F.col("alloc") % F.col("tokens")).otherwise(0))
         self.leaves = scratch(shared, "mix-budgets")
         ordered = self._join(self.rows, self.leaves).where("part > 0 and n_tokens > 0").withColumn("hash", self._hash(F.col("doc_id"), F.col("n_tokens")))
@@ -156,7 +156,7 @@ def mix_documents(docs: DataFrame, share: float = 0.6, epochs: int = 4, seed: in
     """Every document with how often the mixture takes it.
 
     Defined cases: null in a level is a node of its own, "(none)"; a null text has no tokens, and documents without
-    tokens come along with every epoch of their leaf, also a partial one; rows with equal doc_id and token count are
+    tokens come along with every epoch of their leaf, also a partial one, and once where their leaf has no tokens at all; rows with equal doc_id and token count are
     chosen together; a null doc_id hashes as empty; a weight of 0 takes a subtree out; if all leaves together cannot
     give the budget, each gives all it has; an empty table gives no rows; other columns are ignored, whatever their names.
     """
@@ -182,7 +182,7 @@ def mix_sql(share: float = 0.6, epochs: int = 4, seed: int = 29, weights: dict =
             f"node{depth} AS (SELECT {keys}, first(w_{level}) AS weight, CAST(sum(cap) AS HUGEINT) AS cap, first(alloc) AS budget FROM tree{depth} GROUP BY {keys})",
             f"""fill{depth} AS (SELECT *, budget - coalesce(sum(cap) OVER ({fill} AND 1 PRECEDING), 0) AS left_over,
                 sum(weight) OVER ({by}) - coalesce(sum(weight) OVER ({fill} AND 1 PRECEDING), 0) AS open_weight FROM node{depth})""",
-            f"full{depth} AS (SELECT *, min(CASE WHEN weight = 0 OR cap * open_weight <= weight * left_over THEN 1 ELSE 0 END) OVER ({fill} AND CURRENT ROW) = 1 AS is_full FROM fill{depth})",
+            f"full{depth} AS (SELECT *, weight = 0 OR min(CASE WHEN weight = 0 OR cap * open_weight <= weight * left_over THEN 1 ELSE 0 END) OVER ({fill} AND CURRENT ROW) = 1 AS is_full FROM fill{depth})",
             f"""rest{depth} AS (SELECT *, budget - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER ({by}) AS rest, sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER ({by}) AS over_weight FROM full{depth})""",
             f"part{depth} AS (SELECT *, CASE WHEN is_full THEN cap ELSE (weight * rest) // over_weight END AS part FROM rest{depth})",
             f"""alloc{depth} AS (SELECT {keys}, part + CASE WHEN NOT is_full AND sum(CASE WHEN is_full THEN 0 ELSE 1 END) OVER ({by} ORDER BY {level} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
@@ -190,7 +190,7 @@ def mix_sql(share: float = 0.6, epochs: int = 4, seed: int = 29, weights: dict =
             f"tree{depth + 1} AS (SELECT t.* EXCLUDE (alloc), a.alloc FROM tree{depth} t JOIN alloc{depth} a USING ({keys}))",
         ]
     parts += [
-        """cut AS (SELECT domain, lang, source, tokens, alloc, CASE WHEN tokens > 0 THEN alloc // tokens ELSE 0 END AS whole, CASE WHEN tokens > 0 THEN alloc % tokens ELSE 0 END AS part FROM tree3)""",
+        f"""cut AS (SELECT domain, lang, source, tokens, alloc, CASE WHEN tokens > 0 THEN alloc // tokens WHEN {" AND ".join(f"w_{x} > 0" for x in levels)} THEN 1 ELSE 0 END AS whole, CASE WHEN tokens > 0 THEN alloc % tokens ELSE 0 END AS part FROM tree3)""",
         f"hashed AS (SELECT d.*, c.tokens, c.alloc, c.whole, c.part, md5(concat_ws(':', '{seed}', CAST(whole + 1 AS VARCHAR), coalesce(CAST(doc_id AS VARCHAR), ''), CAST(n_tokens AS VARCHAR))) AS hash FROM docs d JOIN cut c USING (domain, lang, source))",
         "run AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY hash RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM hashed)",
     ]
