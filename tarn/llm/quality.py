@@ -26,8 +26,8 @@ from tarn.sources import scratch
 BUCKETS = 1 << 16
 SAMPLE = 20_000
 SEED = 17
-#: Counts of the raw model that smooth the target's.
-PRIOR = 8 * BUCKETS
+#: Counts of the raw model that smooth the target's, for each n-gram bucket that occurs.
+PRIOR = 8
 #: The cut keeps at least this share of the good documents on trial.
 KEEP = 0.99
 _SHIFT = np.uint64(48)
@@ -88,9 +88,14 @@ def ratio(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     for row in counts.toLocalIterator():  # at most BUCKETS rows
         raw[row["bucket"]] += row["raw"]
         target[row["bucket"]] += row["target"]
-    raw /= raw.sum()
-    # PRIOR counts follow the raw model, so what a small sample says little about has a weight near one
-    return np.log((target + PRIOR * raw) / (target.sum() + PRIOR)) - np.log(raw)
+    return log_ratio(raw, target)
+
+
+def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """raw counts have one added. What a small target sample says little about gets a ratio near one."""
+    prior = PRIOR * np.count_nonzero(raw > 1)
+    raw = raw / raw.sum()
+    return np.log((target + prior * raw) / (target.sum() + prior)) - np.log(raw) if prior else np.zeros(BUCKETS)
 
 
 def weigher(table: np.ndarray):
