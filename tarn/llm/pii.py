@@ -21,7 +21,7 @@ _BEFORE, _AFTER = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
 
 #: What each kind looks like, in the order in which a value's kind is settled.
 KINDS = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}+[A-Za-z0-9-]{1,63}+",
+    "email": r"[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "phone": r"(?:\+1[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}|\+(?!1[ .(-])[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}",
@@ -174,8 +174,7 @@ def _date(v: Column, key: str, back: bool) -> Column:
 
 def _email(v: Column, key: str, back: bool) -> Column:
     local, host = F.substring_index(v, "@", 1), F.substring_index(v, "@", -1)
-    # a sentence's dot is no part of the host; the host must end with a name
-    return F.when(host.rlike(r"\.[A-Za-z]{2,24}$"), F.concat(scramble(local, key, F.concat(F.lit("email"), F.lower(host)), F.lit(False), back), F.lit("@"), host)).otherwise(v)
+    return F.concat(scramble(local, key, F.concat(F.lit("email"), F.lower(host)), F.lit(False), back), F.lit("@"), host)
 
 
 def _phone(v: Column, key: str, back: bool) -> Column:
@@ -211,15 +210,16 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", count: str | Non
     null text stays null with count 0; an empty one stays empty; repeated rows give repeated rows; an empty table gives
     none; any other columns pass through.
     """
-    body = F.col(text)
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_body"))
+    body = F.col("_body")
     found = F.regexp_extract_all(body, F.lit(PATTERN), F.lit(0))
     new = F.transform(found, lambda v: pseudonym(v, key, back))
+    held = held.withColumn("_new", F.when(body.rlike("[0-9@]") & body.rlike(PATTERN), new))
     gaps = F.split(body, PATTERN, -1)
     joined = F.array_join(F.flatten(F.zip_with(gaps, F.array_append(F.col("_new"), F.lit("")), lambda g, m: F.array(g, m))), "")
-    held = docs.withColumn("_new", F.when(body.rlike("[0-9@]") & body.rlike(PATTERN), new))
-    changed = held.withColumn("_text", F.when(F.col("_new").isNull(), body).otherwise(joined))
-    out = [F.col("_text").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    changed = F.when(F.col("_new").isNull(), body).otherwise(joined)
+    out = [changed.alias(text) if c == text else F.col(f"_row.`{c}`") for c in docs.columns]
     if count:
-        old = F.when(F.col("_new").isNull(), F.array().cast("array<string>")).otherwise(found)
-        out.append(F.coalesce(F.size(F.filter(F.zip_with(old, F.coalesce("_new", F.array().cast("array<string>")), lambda a, b: a != b), lambda x: x)), F.lit(0)).cast("long").alias(count))
-    return changed.select(*out)
+        differs = F.filter(F.zip_with(found, F.col("_new"), lambda a, b: a != b), lambda x: x)
+        out.append(F.when(F.col("_new").isNull(), 0).otherwise(F.size(differs)).cast("long").alias(count))
+    return held.select(*out)
