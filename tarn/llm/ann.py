@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from tarn.llm.vectors import best, smallest_ids, usable
 from tarn.sources import scratch
 
-SAMPLE, TRIALS, RECALL = 16_384, 256, 0.98
+SAMPLE, TRIALS, RECALL = 16_384, 256, 0.99
 CELL, TEAM = 16_384, 2_048
-DEPTH = 48
+DEPTH = 128
 CODEWORDS = 256
 
 
