@@ -1,3 +1,20 @@
-from tarn.functions.scalars import bucket, canonical, has_tokens, hour_of, hour_of_week, salted, search_tokens, week_of, whole_match
+from tarn.functions.scalars import (
+    bucket,
+    canonical,
+    digest,
+    epoch_millis,
+    from_value_json,
+    has_tokens,
+    hour_of,
+    hour_of_week,
+    salted,
+    search_tokens,
+    value_json,
+    week_of,
+    whole_match,
+)
 
-__all__ = ["bucket", "canonical", "has_tokens", "hour_of", "hour_of_week", "salted", "search_tokens", "week_of", "whole_match"]
+__all__ = [
+    "bucket", "canonical", "digest", "epoch_millis", "from_value_json", "has_tokens", "hour_of", "hour_of_week", "salted",
+    "search_tokens", "value_json", "week_of", "whole_match",
+]

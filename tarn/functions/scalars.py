@@ -72,3 +72,37 @@ def whole_match(c: Column, pattern: str) -> Column:
 
 def salted(c: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+
+
+#: The name under which a value of each type stands in its JSON object.
+JSON_KEYS = {
+    "string": "string", "text": "string", "int": "int", "double": "double", "timestamp": "date", "bytes": "bytes", "reference": "reference",
+    "stringList": "strings", "intList": "ints", "doubleList": "doubles", "timestampList": "dates", "referenceList": "references", "bytesList": "blobs",
+}
+
+
+def value_json(c: Column, kind: FieldType) -> Column:
+    """A value as a JSON object of one key; dates are milliseconds, bytes base64."""
+    if kind is FieldType.TIMESTAMP:
+        c = epoch_millis(c)
+    elif kind is FieldType.TIMESTAMP_LIST:
+        c = F.transform(c, epoch_millis)
+    return F.when(c.isNotNull(), F.to_json(F.struct(c.alias(JSON_KEYS[kind.label]))))
+
+
+def from_value_json(c: Column, kind: FieldType) -> Column:
+    """The value of such an object; null where it holds a value of another type."""
+    key = JSON_KEYS[kind.label]
+    stored = {"timestamp": "bigint", "timestampList": "array<bigint>"}.get(kind.label, kind.spark.simpleString())
+    value = F.from_json(c, f"`{key}` {stored}")[key]
+    if kind is FieldType.TIMESTAMP:
+        return F.timestamp_millis(value)
+    if kind is FieldType.TIMESTAMP_LIST:
+        return F.transform(value, F.timestamp_millis)
+    return value
+
+
+def digest(*parts: Column) -> Column:
+    """SHA-256, in hexadecimal, of the parts joined by |, with | and \\ escaped in each."""
+    escaped = [F.replace(F.replace(p, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")) for p in parts]
+    return F.sha2(F.concat_ws("|", *escaped).cast("binary"), 256)

@@ -8,7 +8,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.functions import canonical, hour_of_week, week_of
+from tarn.functions import canonical, digest, from_value_json, hour_of_week, search_tokens, value_json, week_of
 from tarn.operators import rollups, writes
 from tarn.operators.filters import attr
 from tarn.plans.query import Cursor, Query, over
@@ -326,9 +326,29 @@ def _writes() -> None:
     )
 
 
+def _scalars() -> None:
+    def json_values(s: SparkSession, d: str) -> DataFrame:
+        p = parts(s, d)
+        back = from_value_json(value_json(F.col("words"), FieldType.STRING_LIST), FieldType.STRING_LIST)
+        return p.select("uuid", value_json(F.col("size"), FieldType.INT).alias("int_json"), value_json(F.col("words"), FieldType.STRING_LIST).alias("list_json"), F.array_join(back, " ").alias("back"))
+
+    _register(
+        "value_json", json_values,
+        """SELECT p_partkey AS uuid, '{"int":' || p_size || '}' AS int_json, '{"strings":["' || replace(p_name, ' ', '","') || '"]}' AS list_json, p_name AS back FROM part""",
+    )
+    _register(
+        "digest", lambda s, d: parts(s, d).select("uuid", digest(F.col("name"), F.concat(F.col("brand"), F.lit("|\\"))).alias("digest")),
+        "SELECT p_partkey AS uuid, sha256(p_name || '|' || p_brand || '\\|\\\\') AS digest FROM part",
+    )
+    _register(
+        "search_tokens", lambda s, d: document(s, d).filter(attr("lang") == "en").frame().select("uuid", F.size(search_tokens(F.col("text"))).alias("n")),
+        "SELECT doc_id AS uuid, CAST(len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) AS INTEGER) AS n FROM documents WHERE lang = 'en'",
+    )
+
+
 @cache
 def _all() -> dict[str, tuple]:
-    for declare in (_filters, _records, _folds, _series, _writes):
+    for declare in (_filters, _records, _folds, _series, _writes, _scalars):
         declare()
     return _ENTRIES
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarn.errors import QueryFault, SchemaError
-from tarn.functions import bucket, canonical, hour_of_week
+from tarn.functions import bucket, canonical, digest, from_value_json, hour_of_week, value_json
 from tarn.operators.filters import Filter, attr
 from tarn.plans.query import Cursor, over
 from tarn.registry import Registry
@@ -207,3 +207,25 @@ def test_filters_reach_the_scan(spark, tmp_path):
     q = over(r.definition("t"), spark.read.parquet(path)).filter((attr("n") > 5) & attr("m").isin([7, 8]))
     plan = q.frame().select("uuid")._jdf.queryExecution().toString()
     assert "GreaterThan(n,5)" in plan and "In(m, [7,8])" in plan
+
+
+def test_values_survive_json(spark):
+    when = dt.datetime(2024, 1, 2, 3, 4, 5, 678000)
+    values = {
+        FieldType.STRING: "a", FieldType.INT: 5, FieldType.DOUBLE: 2.5, FieldType.TIMESTAMP: when, FieldType.BYTES: bytearray(b"ab"), FieldType.REFERENCE: "u", FieldType.STRING_LIST: ["a", "b"],
+        FieldType.INT_LIST: [1], FieldType.DOUBLE_LIST: [], FieldType.TIMESTAMP_LIST: [when], FieldType.REFERENCE_LIST: ["r"], FieldType.BYTES_LIST: [bytearray(b"x")],
+    }
+    frame = spark.range(1)
+    for kind, v in values.items():
+        df = spark.createDataFrame([(v,), (None,)], f"v {kind.spark.simpleString()}")
+        rows = df.select("v", value_json(F.col("v"), kind).alias("j")).withColumn("back", from_value_json(F.col("j"), kind)).collect()
+        assert [r["back"] for r in rows] == [v, None] and rows[1]["j"] is None, kind
+    assert frame.select(from_value_json(F.lit('{"int":5}'), FieldType.STRING)).first()[0] is None
+    assert frame.select(value_json(F.lit(5), FieldType.INT)).first()[0] == '{"int":5}'
+
+
+def test_digest_escapes(spark):
+    import hashlib
+
+    got = spark.range(1).select(digest(F.lit("a|b"), F.lit("c\\"))).first()[0]
+    assert got == hashlib.sha256(b"a\\|b|c\\\\").hexdigest()
