@@ -8,6 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+ARROW_BYTES, ARROW_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -33,9 +34,12 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """UTC for every query, and Python workers that can import this package."""
+    """UTC for every query, bounded Arrow batches, and Python workers that can import this package."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # batches to Python by bytes, not by rows: texts may be of any length
+    if spark.conf.isModifiable(ARROW_BYTES):
+        spark.conf.set(ARROW_BYTES, ARROW_LIMIT)
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
