@@ -100,7 +100,7 @@ def distinct(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate([np.zeros(0, "uint64"), *parts]), np.append(0, np.cumsum([len(p) for p in parts], dtype="int64"))
 
 
-def chunks(batch: pa.RecordBatch, text: int, at_most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, text: int, at_most: int = 250_000) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts have at most so many bytes."""
     for a, b in slices(batch.column(text), at_most):
         yield batch.slice(a, b - a)

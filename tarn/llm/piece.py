@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Remembered segments of a Python worker; beyond this the memory starts afresh.
-MEMORY = 400_000
+MEMORY = 200_000
 #: Longer segments are not remembered.
 LONGEST = 200
 #: Segments of more characters have their agenda in a heap, one by one; shorter ones in arrays, many at once.
@@ -261,7 +261,7 @@ def encoder(model: str, memory: int = MEMORY, check: bool = True) -> PieceEncode
     return _encoders[key]
 
 
-def slices(texts: pa.Array, at_most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, at_most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Runs of rows of at most so many bytes (but one row at least)."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(texts), 0), "int64")
     start, held = 0, 0

@@ -195,7 +195,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id
             return pa.RecordBatch.from_arrays(columns, names=["part", "seq", "tokens", "segment"])
 
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), 4_000_000):
                 found = coder.encode(batch.column(1).slice(a, b - a).to_pylist())
                 for key, ids in zip(batch.column(0).slice(a, b - a).to_pylist(), found, strict=True):
                     keys.append(key)
