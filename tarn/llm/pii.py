@@ -29,8 +29,11 @@ KINDS = {
     "card": r"[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}",
     "key": r"AKIA[0-9A-Z]{16}",
     "hex": r"[0-9a-f]{32,64}",
+    "upper_hex": r"[0-9A-F]{32,64}",
 }
-_SECRET = r"(?<=password=)[0-9A-Za-z]{6,64}"
+#: A text without any of these has no value of any kind.
+HINT = r"[0-9@]|AKIA|(?i:password)="
+_SECRET = r"(?<=(?i:password)=)[0-9A-Za-z]{6,64}"
 
 
 def _pattern() -> str:
@@ -38,7 +41,7 @@ def _pattern() -> str:
     card = r"[0-9]{13,19}|[0-9]{4}(?:(?: [0-9]{4}){2} [0-9]{1,7}|(?:-[0-9]{4}){2}-[0-9]{1,7}|[ -][0-9]{6}[ -][0-9]{5})"
     email = rf"(?<![A-Za-z0-9._%+-]){KINDS['email']}"
     ip = rf"(?<![0-9A-Za-z_]|[0-9]\.){KINDS['ip']}(?![0-9A-Za-z_]|\.[0-9])"
-    rest = "|".join(card if k == "card" else KINDS[k] for k in ("phone", "ssn", "date", "card", "key", "hex"))
+    rest = "|".join(card if k == "card" else KINDS[k] for k in ("phone", "ssn", "date", "card", "key", "hex", "upper_hex"))
     return rf"{email}|{_SECRET}{_AFTER}|{ip}|(?<![0-9A-Za-z_+.])(?:{rest}){_AFTER}"
 
 
@@ -198,6 +201,7 @@ def pseudonym(v: Column, key: str, back: bool = False) -> Column:
         .when(whole("card"), _card(v, key, back))
         .when(whole("key"), F.concat(F.lit("AKIA"), scramble(F.substring(v, F.lit(5), F.lit(16)), key, F.lit("key"), F.lit(False), back)))
         .when(whole("hex"), scramble(v, key, F.lit("hex"), F.lit(True), back))
+        .when(whole("upper_hex"), F.upper(scramble(F.lower(v), key, F.lit("hex"), F.lit(True), back)))
         .otherwise(scramble(v, key, F.lit("secret"), F.lit(False), back))
     )
 
@@ -214,7 +218,7 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", count: str | Non
     body = F.col("_body")
     found = F.regexp_extract_all(body, F.lit(PATTERN), F.lit(0))
     new = F.transform(found, lambda v: pseudonym(v, key, back))
-    held = held.withColumn("_new", F.when(body.rlike("[0-9@]") & body.rlike(PATTERN), new))
+    held = held.withColumn("_new", F.when(body.rlike(HINT) & body.rlike(PATTERN), new))
     gaps = F.split(body, PATTERN, -1)
     joined = F.array_join(F.flatten(F.zip_with(gaps, F.array_append(F.col("_new"), F.lit("")), lambda g, m: F.array(g, m))), "")
     changed = F.when(F.col("_new").isNull(), body).otherwise(joined)
