@@ -87,10 +87,10 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = np.append(0, np.cumsum(np.where(none, 0, BANDS))).astype("int32")
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column(0), part.column(3), pa.array(sizes, pa.int64()), pa.array(node, pa.int64(), mask=none), part.column(2),
+                    part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(node, pa.int64(), mask=none),
                     pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(keys.ravel(), pa.int64())),
                 ],
-                names=["doc_id", "row_key", "n_shingles", "node", "text_key", "keys"],
+                names=["doc_id", "row_key", "n_shingles", "node", "keys"],
             )
 
 
@@ -225,9 +225,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, doc_id: str = "doc_id",
     repeated rows are in one group and each keeps its row; a null doc_id takes part, and is kept only in a group without
     any other; other columns are ignored; an empty table gives no rows. Nodes are told apart by a 64-bit hash of the set.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_key"), row_key(doc_id, text).alias("row_key"))
-    sketches = scratch(rows.mapInArrow(_sketch, "doc_id long, row_key long, n_shingles long, node long, text_key long, keys array<long>"), "sketches")
-    nodes = scratch(sketches.where("node is not null").drop("doc_id", "row_key").dropDuplicates(["node"]), "nodes")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(doc_id, text).alias("row_key"))
+    sketches = scratch(rows.mapInArrow(_sketch, "doc_id long, row_key long, n_shingles long, node long, keys array<long>"), "sketches")
+    nodes = scratch(sketches.where("node is not null").drop("doc_id").dropDuplicates(["node"]), "nodes")
     keys = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     buckets = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).where("members > 1")
     members = scratch(keys.join(buckets, "key"), "members")
@@ -236,8 +236,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, doc_id: str = "doc_id",
     other = about.select(F.col("node").alias("a"), F.col("n_shingles").alias("of_a"))
     first = first.join(about.select(F.col("node").alias("b"), F.col("n_shingles").alias("of_b")), "b").join(other, "a")
     first = scratch(first.where(100 * F.least("of_a", "of_b") >= percent * F.greatest("of_a", "of_b")).select("a", "b"), "first-pairs")
-    wanted = members.select("node").distinct().join(nodes.select("node", "text_key"), "node")
-    sets = wanted.join(rows.select("text_key", "text"), "text_key").dropDuplicates(["node"]).select("node", "text")
+    # a node's text is that of one of its rows, so a group of copies brings one text
+    wanted = members.select("node").distinct().join(nodes.select("node", "row_key"), "node")
+    sets = wanted.join(rows.select("row_key", "text"), "row_key").dropDuplicates(["node"]).select("node", "text")
     sets = scratch(sets.mapInArrow(_sets, "node long, shingles binary, short binary"), "sets")
     about = nodes.select("node", "n_shingles", "keys").join(sets.select("node", "short"), "node")
     links = scratch(_verify(first, sets, percent), "first-links")
