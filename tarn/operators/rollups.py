@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.functions import bucket, canonical, hour_of
+from tarn.functions import bucket, canonical, hour_of, week_of
 from tarn.schema import COUNT, HISTOGRAM, MAX, MIN, Aggregate, Entity
 
 
@@ -68,7 +68,11 @@ def totals(cells: DataFrame, aggregate: Aggregate) -> DataFrame:
 
 
 def series(cells: DataFrame, aggregate: Aggregate, start, end) -> DataFrame:
-    """(grp, hour, value) of the hours that begin in [start, end)."""
+    """(grp, hour, value) of the hours that begin in [start, end). Cells that know their week are narrowed by it first, so
+    stored ones are read from the folders of the weeks in range."""
+    if "week" in cells.columns:
+        first, last = (F.to_date(week_of(F.lit(x).cast("timestamp"))) for x in (start, end))
+        cells = cells.where(F.col("week").between(first, last))
     cells = cells.where((F.col("hour") >= F.lit(start).cast("timestamp")) & (F.col("hour") < F.lit(end).cast("timestamp")))
     out = cells.groupBy("grp", "hour").agg(combine(aggregate).alias("value"))
     return out.where("value <> 0") if aggregate.metric == COUNT else out

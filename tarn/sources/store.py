@@ -77,12 +77,12 @@ class Store:
         return sorted(r[0] for r in self.spark.read.parquet(f"{self.path}/schema").select("entity").distinct().collect())
 
     def cells(self, entity: Entity, aggregate: Aggregate) -> DataFrame:
-        """The rollup of an aggregate, over all batches; week narrows a reader's folders."""
+        """The rollup of an aggregate, over all batches, with the week by which a series narrows its folders."""
         folder = f"{self.path}/rollups/{entity.name}"
         if not self._exists(folder):
-            return self.spark.createDataFrame([], CELLS)
+            return self.spark.createDataFrame([], f"{CELLS}, week date")
         rows = self.spark.read.schema(f"{CELLS}, batch long, aggregate string, week date").parquet(folder)
-        return rows.where(F.col("aggregate") == aggregate.name).select("grp", "hour", "value")
+        return rows.where(F.col("aggregate") == aggregate.name).select("grp", "hour", "value", "week")
 
     # writing
 
