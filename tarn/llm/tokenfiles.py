@@ -51,6 +51,8 @@ class TokenEncoder:
 
     def __init__(self, path: str, memory: int = MEMORY):
         self.library = tokenizers.Tokenizer.from_file(path)
+        if hasattr(self.library.model, "_resize_cache"):
+            self.library.model._resize_cache(0)  # it sees each piece once
         self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         special = [(i, t.content) for i, t in self.library.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
@@ -67,20 +69,21 @@ class TokenEncoder:
             self.known = {}
         known, fresh = self.known, list(set(chain.from_iterable(cut)).difference(self.known))
         kind, long = f"<u{self.width}", {}
-        odd = [s for s in fresh if s in whole] if self.separator else fresh
-        plain = [s for s in fresh if s not in whole] if self.separator else []
+        odd, plain = ([], fresh) if self.separator and not whole else ([s for s in fresh if s in whole or not self.separator], [s for s in fresh if s not in whole and self.separator])
         for start in range(0, len(plain), 20_000):
             # many pieces in one text, apart by a special token: the library encodes what is between them by itself
             some = plain[start : start + 20_000]
             joined = [self.separator.join(some[k : k + 2_000]) + self.separator for k in range(0, len(some), 2_000)]
             found = [e.ids for e in self.library.encode_batch_fast(joined, add_special_tokens=False)]
             ids = np.fromiter(chain.from_iterable(found), "<u4")
-            stops = np.flatnonzero(ids == self.separator_id)
+            stops = np.flatnonzero(ids == self.separator_id) * self.width
             ids = ids.astype(kind).tobytes()
-            at = 0
-            for s, stop in zip(some, (stops * self.width).tolist(), strict=True):
-                (known if len(s) <= LONGEST else long)[s] = ids[at:stop]
-                at = stop + self.width
+            starts = np.append(0, stops[:-1] + self.width)
+            learnt = dict(zip(some, [ids[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)], strict=True))
+            if max(map(len, some)) > LONGEST:
+                long |= {s: i for s, i in learnt.items() if len(s) > LONGEST}
+                learnt = {s: i for s, i in learnt.items() if len(s) <= LONGEST}
+            known.update(learnt)
         for s, e in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False) if odd else [], strict=True):
             (known if len(s) <= LONGEST else long)[s] = np.array(e.ids, kind).tobytes()
         if not long:
