@@ -166,9 +166,10 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED, doc_id: str =
     weigh = weigher(ratio(rows, known))
     noise = gumbel(seed, doc_id, text)
     scored = rows.join(F.broadcast(known), rows["doc_id"] == known["label_id"], "left")
-    scored = scored.select("doc_id", weigh("text").alias("log_weight"), gumbel(seed, "doc_id", "text").alias("noise"), "good", "fits")
+    scored = scored.select("doc_id", weigh("text").alias("log_weight"), gumbel(seed, "doc_id", "text").alias("noise"), "label_id", "good", "fits")
     scored = scratch(scored.withColumn("key", F.col("log_weight") + F.col("noise")).drop("noise"), "weights")
-    trial = scored.where("good is not null and not fits").select("good", "log_weight").toPandas()  # at most SAMPLE rows
+    trial = scored.where("good is not null and not fits").groupBy("label_id", "good").agg(F.min("log_weight").alias("log_weight"))
+    trial = trial.select("good", "log_weight").toPandas()  # a row for each label, SAMPLE at most
     cut = best_cut(trial["log_weight"][trial["good"]].to_numpy(), trial["log_weight"][~trial["good"].astype(bool)].to_numpy())
     k = scored.where(F.col("log_weight") >= cut).count()
     limit = kth_largest(scored, "key", k) if k else np.inf
