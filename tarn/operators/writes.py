@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tarn.errors import SchemaError, ValueFault
 from tarn.functions import whole_match
 from tarn.operators import rollups
-from tarn.schema import COUNT, MAX, MIN, Aggregate, Entity, Field
+from tarn.schema import MAX, MIN, Aggregate, Entity, Field
 
 UUID, VERSION, WRITTEN = "uuid", "_version", "_written"
 
@@ -131,6 +131,3 @@ def as_of_version(df: DataFrame, entity: Entity) -> DataFrame:
         shown = [F.when((version >= (f.since or 1)) & (version < (f.until or 1 << 30)), F.col(f"`{f.column}`").cast(f.type.spark if len(kinds) == 1 else "string")) for f in windows]
         out.append(reduce(lambda a, b: F.coalesce(a, b), shown).alias(name))
     return df.select(*out)
-
-
-__all__ = ["COUNT", "as_of_version", "fault", "from_log", "gains", "one_per_key", "raise_first", "replaced", "violations", "with_defaults"]
