@@ -120,7 +120,7 @@ def _confirm(percent: int):
 
 def common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of sets[left] with sets[right]."""
-    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
     often = np.bincount(column) > 1
     place = np.cumsum(often) - 1
     row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
