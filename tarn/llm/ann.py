@@ -3,8 +3,9 @@
 Equal vectors are one entry. On a bounded sample of entries (documented parameters) k-means finds the coarse centroids
 and, on residuals, the codebooks of each pair of dimensions; the sample's own neighbours set how many lists are probed
 for the recall wanted. Every entry is then indexed: its list and one byte a pair of dimensions. A query adds up its
-asymmetric distance tables over the codes of the lists it probes; the best are reranked with exact cosines of the
-original vectors, in double precision.
+asymmetric distance tables over the codes of the lists it probes. An entry's distance is that of its code, give or take
+the entry's own quantisation error; so all entries that may be among the best are reranked, however many they are, with
+exact cosines of the original vectors in double precision.
 
 Lists are packed into cells of bounded size (a list too long is dealt over several), queries into teams, and each cell
 meets each team once; it gives a query's best entries of the cell, not its pairs.
@@ -25,8 +26,9 @@ from tarn.sources import scratch
 
 SAMPLE, TRIALS, RECALL = 16_384, 256, 0.99
 CELL, TEAM = 16_384, 2_048
-DEPTH = 128
 CODEWORDS = 256
+#: Of a squared distance of unit vectors, what single precision may lose.
+ROUNDING = 1e-5
 
 
 def kmeans(points: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -60,6 +62,11 @@ class Model:
         codes = np.stack([closest(rest[:, 2 * s : 2 * s + 2], book) for s, book in enumerate(self.books)], 1).astype("uint8")
         return owner, codes
 
+    def decode(self, owner: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The vectors that lists and codes stand for."""
+        rest = np.concatenate([book[codes[:, s]] for s, book in enumerate(self.books)], 1)
+        return self.coarse[owner] + rest[:, : self.coarse.shape[1]]
+
     def order(self, x: np.ndarray) -> np.ndarray:
         """Lists from the nearest on, for each vector."""
         return np.argsort(0.5 * (self.coarse**2).sum(1) - x @ self.coarse.T, axis=1, kind="stable")
@@ -123,9 +130,9 @@ def pack(counts: dict[int, int]) -> dict[int, tuple[int, int]]:
 def _index(model: Model):
     def run(batches):
         for batch in batches:
-            x = unit(_matrix(batch.column(2))) if batch.num_rows else np.zeros((0, model.coarse.shape[1]), "float32")
+            x = unit(_matrix(batch.column(3))) if batch.num_rows else np.zeros((0, model.coarse.shape[1]), "float32")
             owner, codes = model.assign(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(owner, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], names=["k1", "k2", "list", "code"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(owner, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], names=["k1", "k2", "first", "v", "list", "code"])
 
     return run
 
@@ -136,7 +143,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _route(model: Model, cells: dict[int, tuple[int, int]], counts: dict[int, int], k: int):
-    """A row for each query and cell that it goes to, with the lists to look at there."""
+    """A row for each query and cell that it goes to, with the lists to look at there; its own list is one of them."""
     sizes = np.array([counts.get(i, 0) for i in range(len(model.coarse))])
 
     def run(batches):
@@ -145,10 +152,10 @@ def _route(model: Model, cells: dict[int, tuple[int, int]], counts: dict[int, in
                 continue
             order = model.order(unit(_matrix(batch.column(2))))
             rows, where, what = [], [], []
-            for i, lists in enumerate(order):
+            for i, (lists, own) in enumerate(zip(order, batch.column(3).to_pylist(), strict=True)):
                 enough = int(np.searchsorted(np.cumsum(sizes[lists]), 4 * (k + 1))) + 1
                 goes: dict[int, list[int]] = {}
-                for one in lists[: max(model.probes, enough)].tolist():
+                for one in dict.fromkeys([own, *lists[: max(model.probes, enough)].tolist()]):
                     first, parts = cells.get(one, (0, 0))
                     for c in range(first, first + parts):
                         goes.setdefault(c, []).append(one)
@@ -162,15 +169,30 @@ def _route(model: Model, cells: dict[int, tuple[int, int]], counts: dict[int, in
     return run
 
 
-def _probe(model: Model, depth: int):
-    empty = pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("q1", "int64"), ("q2", "int64"), ("k1", "int64"), ("k2", "int64"), ("near", "float32"))})
+def within(square: np.ndarray, error: np.ndarray, n: int) -> np.ndarray:
+    """Places of all that may be among the n nearest: squared distances of codes, and how far a code is from its vector."""
+    if len(square) <= n:
+        return np.arange(len(square))
+    reach = np.partition(np.sqrt(np.maximum(square, 0) + ROUNDING) + error, n - 1)[n - 1]
+    return np.flatnonzero(np.sqrt(np.maximum(square - ROUNDING, 0)) - error <= reach)
+
+
+def _probe(model: Model, n: int):
+    """Each query's n best entries of a cell: cosines of the original vectors, in double precision."""
+    kinds = {"q1": "int64", "q2": "int64", "k1": "int64", "k2": "int64", "first": "int64", "score": "float64"}
 
     def run(entries: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(entries) and len(queries):
             owner = entries["list"].to_numpy()
             codes = np.frombuffer(b"".join(entries["code"]), "uint8").reshape(len(entries), -1)
-            k1, k2 = entries["k1"].to_numpy(), entries["k2"].to_numpy()
+            k1, k2, first = (entries[c].to_numpy() for c in ("k1", "k2", "first"))
+            vectors = np.stack(entries["v"])
+            length = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+            stands = model.decode(owner, codes)
+            error = np.linalg.norm(unit(vectors) - stands, axis=1)
+            norms = np.einsum("ij,ij->i", stands, stands)
+            del stands
             for start in range(0, len(queries), 64):
                 some = queries.iloc[start : start + 64]
                 x = unit(np.stack(some["v"]))
@@ -178,26 +200,22 @@ def _probe(model: Model, depth: int):
                 tables = model.tables(x)
                 for s in range(codes.shape[1]):
                     near += tables[:, s, codes[:, s]]
-                for i, (q1, q2, lists) in enumerate(zip(some["q1"], some["q2"], some["lists"], strict=True)):
-                    at = np.flatnonzero(np.isin(owner, lists))
-                    if len(at) > depth:
-                        at = at[np.argpartition(-near[i, at], depth)[:depth]]
-                    out.append(pd.DataFrame({"q1": q1, "q2": q2, "k1": k1[at], "k2": k2[at], "near": near[i, at]}))
-        return pd.concat(out) if out else empty
+                for i, (q1, q2, v, lists) in enumerate(zip(some["q1"], some["q2"], some["v"], some["lists"], strict=True)):
+                    looked = np.zeros(len(model.coarse), bool)
+                    looked[lists] = True
+                    at = np.flatnonzero(looked[owner])
+                    at = at[within(1 + norms[at] - 2 * near[i, at], error[at], n)]
+                    score = np.einsum("ij,j->i", vectors[at], v) / (np.sqrt(np.einsum("j,j->", v, v)) * length[at])
+                    top = np.lexsort((first[at], -score))[:n]
+                    at = at[top]
+                    out.append((np.full(len(at), q1), np.full(len(at), q2), k1[at], k2[at], first[at], score[top]))
+        columns = zip(*out, strict=True) if out else [[np.zeros(0, t)] for t in kinds.values()]
+        return pd.DataFrame({c: np.concatenate(parts).astype(t) for (c, t), parts in zip(kinds.items(), columns, strict=True)})
 
     return run
 
 
-def _exact(batches):
-    """Cosine of the original vectors, in double precision."""
-    for batch in batches:
-        if batch.num_rows:
-            a, b = _matrix(batch.column(4)), _matrix(batch.column(5))
-            score = np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(score, pa.float64())], names=["q1", "q2", "k1", "k2", "score"])
-
-
-def nearest_vectors(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", vector: str = "embedding", depth: int = DEPTH) -> DataFrame:
+def nearest_vectors(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Each query's k nearest rows found, by cosine: query_id, rank, vec_id, score.
 
     is_query is a condition on vec_id. Candidates are all rows with another vec_id; ties go to the smaller vec_id.
@@ -208,30 +226,26 @@ def nearest_vectors(vectors: DataFrame, is_query: Column, k: int, vec_id: str =
     spark = vectors.sparkSession
     rows = usable(vectors, vec_id, vector).select("vec_id", "v", F.xxhash64("v").alias("k1"), F.xxhash64("v", F.lit(1)).alias("k2"))
     rows = scratch(rows, "vectors")
-    entries = scratch(rows.select("k1", "k2", "v").dropDuplicates(["k1", "k2"]), "vector-entries")
+    entries = scratch(rows.groupBy("k1", "k2").agg(F.min("vec_id").alias("first"), F.first("v").alias("v")), "vector-entries")
     sample = entries.orderBy("k1", "k2").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     model = train(unit(_matrix(sample)), entries.count(), k)
-    index = scratch(entries.select("k1", "k2", "v").mapInArrow(_index(model), "k1 long, k2 long, list int, code binary"), "vector-index")
+    index = scratch(entries.select("k1", "k2", "first", "v").mapInArrow(_index(model), "k1 long, k2 long, first long, v array<double>, list int, code binary"), "vector-index")
     counts = {r["list"]: r["count"] for r in index.groupBy("list").count().collect()}  # a row for each coarse centroid
     cells = pack(counts)
     queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("k1").alias("q1"), F.col("k2").alias("q2")).distinct()
-    wanted = queries.select("q1", "q2").distinct().join(entries.select(F.col("k1").alias("q1"), F.col("k2").alias("q2"), "v"), ["q1", "q2"])
-    wanted = scratch(wanted.select("q1", "q2", "v"), "vector-queries")
+    wanted = queries.select("q1", "q2").distinct().join(index.select(F.col("k1").alias("q1"), F.col("k2").alias("q2"), "v", "list"), ["q1", "q2"])
+    wanted = scratch(wanted.select("q1", "q2", "v", "list"), "vector-queries")
     teams = max(1, -(-wanted.count() // TEAM))
-    where = spark.createDataFrame([(key, first, parts) for key, (first, parts) in cells.items()], "list int, first int, parts int")
-    left = index.join(where, "list").select("k1", "k2", "list", "code", (F.col("first") + F.pmod("k1", "parts")).cast("int").alias("cell"))
+    where = spark.createDataFrame([(key, first, parts) for key, (first, parts) in cells.items()], "list int, start int, parts int")
+    left = index.join(where, "list").select("k1", "k2", "first", "v", "list", "code", (F.col("start") + F.pmod("k1", "parts")).cast("int").alias("cell"))
     left = left.withColumn("team", F.explode(F.sequence(F.lit(0), F.lit(teams - 1))))
     right = wanted.mapInArrow(_route(model, cells, counts, k), "q1 long, q2 long, v array<double>, cell int, lists array<int>")
     right = right.withColumn("team", F.pmod(F.xxhash64("q1", "q2"), F.lit(teams)).cast("int"))
-    met = left.groupBy("cell", "team").cogroup(right.groupBy("cell", "team")).applyInPandas(_probe(model, depth), "q1 long, q2 long, k1 long, k2 long, near float")
-    found = best(met, ["q1", "q2"], [F.desc("near"), F.col("k1"), F.col("k2")], depth).select("q1", "q2", "k1", "k2")
-    found = found.union(wanted.select("q1", "q2", F.col("q1").alias("k1"), F.col("q2").alias("k2"))).distinct()
-    pairs = found.join(wanted.withColumnRenamed("v", "left"), ["q1", "q2"]).join(entries.withColumnRenamed("v", "right"), ["k1", "k2"])
-    scored = pairs.select("q1", "q2", "k1", "k2", "left", "right").mapInArrow(_exact, "q1 long, q2 long, k1 long, k2 long, score double")
-    ids = smallest_ids(rows, ["k1", "k2"], k + 1).withColumn("first", F.element_at("ids", 1))
-    top = best(scored.join(ids, ["k1", "k2"]), ["q1", "q2"], [F.desc("score"), F.col("first")], k + 1).drop("rank")
+    met = left.groupBy("cell", "team").cogroup(right.groupBy("cell", "team")).applyInPandas(_probe(model, k + 1), "q1 long, q2 long, k1 long, k2 long, first long, score double")
+    top = best(met, ["q1", "q2"], [F.desc("score"), F.col("first")], k + 1).drop("rank", "first")
+    top = top.join(smallest_ids(rows, ["k1", "k2"], k + 1), ["k1", "k2"])
     out = queries.join(top, ["q1", "q2"]).select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id != query_id")
     out = out.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return best(out, ["query_id"], [F.desc("score"), F.col("vec_id")], k).select("query_id", "rank", "vec_id", "score")

@@ -60,6 +60,22 @@ def test_recall_on_many_vectors(spark, monkeypatch):
     assert hits / (120 * 5) >= 0.9
 
 
+@pytest.mark.parametrize("noise", [0.01, 0.05])
+def test_neighbours_in_a_crowd_of_near_copies(spark, noise):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(1800, 64))
+    v[:600] = v[0] + noise * rng.normal(size=(600, 64))
+    v = v.astype("float32")
+    rows = nearest_vectors(table(spark, [(i, [float(x) for x in r]) for i, r in enumerate(v)]), F.col("vec_id") % 20 == 0, 5).collect()
+    wide = v.astype("float64")
+    unit = wide / np.linalg.norm(wide, axis=1, keepdims=True)
+    for q in range(0, 600, 20):
+        s = unit @ unit[q]
+        s[q] = -2
+        own = sorted((r for r in rows if r["query_id"] == q), key=lambda r: r["rank"])
+        assert [r["vec_id"] for r in own] == np.argsort(-s)[:5].tolist()
+
+
 def test_few_candidates(spark):
     two = table(spark, [(0, [1.0, 0.0]), (1, [0.0, 1.0])])
     assert [(r["query_id"], r["vec_id"], r["score"]) for r in nearest_vectors(two, F.col("vec_id") % 50 == 0, 5).collect()] == [(0, 1, 0.0)]
