@@ -12,37 +12,60 @@ the new number.
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _BEFORE, _AFTER = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
+_SSN, _IP = r"[0-9]{3}-[0-9]{2}-[0-9]{4}", rf"{_OCTET}(?:\.{_OCTET}){{3}}"
+_DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}"
+#: Card numbers with back references spelled out, as groups of the whole pattern would be numbered anew.
+_CARD = r"[0-9]{13,19}|[0-9]{4}(?:(?: [0-9]{4}){2} [0-9]{1,7}|(?:-[0-9]{4}){2}-[0-9]{1,7}|[ -][0-9]{6}[ -][0-9]{5})"
+
+
+def _phones() -> str:
+    """Of +1, its code may be missing; others have their code. 8 to 15 digits, or as few as were always taken in short groups."""
+    code, area = r"\+1[ .-]?", r"\([0-9]{3}\)[ .-]?"
+    american = rf"{code}(?:{area}|[0-9]{{3}}[ .-]?)[0-9]{{3}}[ .-]?[0-9]{{4}}|{area}[0-9]{{3}}[ .-]?[0-9]{{4}}"
+    bare = r"[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}"
+    spaced = r"(?<![0-9] )[0-9]{3} [0-9]{3} [0-9]{4}(?! [0-9])"
+    # a group is not the beginning of a value of its own
+    group = rf"(?![ .-](?:{_IP}|{_DATE}|{_SSN}|{_CARD}|{bare}){_AFTER})[ .-]"
+    before = "[0-9][ .()-]{0,2}"  # written out, as a lookbehind has no repeated groups
+    digits = rf"(?<={before * 7}[0-9])(?<!{before * 15}[0-9])"
+    grouped = rf"\+(?!1[ .(-])[0-9]{{1,3}}(?:[ .-]?\([0-9]{{1,5}}\)[ .-]?[0-9]{{1,8}}|{group}[0-9]{{1,8}})(?:{group}[0-9]{{2,8}}){{0,4}}{digits}{_AFTER}"
+    short = r"\+(?!1[ .(-])[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}"
+    return rf"{american}|{bare}|{spaced}|\+[1-9][0-9]{{7,14}}{_AFTER}|{grouped}|{short}"
+
 
 #: What each kind looks like, in the order in which a value's kind is settled.
 KINDS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "phone": r"(?:\+1[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}|\+(?!1[ .(-])[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}",
-    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
-    "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}",
-    "ip": rf"{_OCTET}(?:\.{_OCTET}){{3}}",
+    "phone": _phones(),
+    "ssn": _SSN,
+    "date": _DATE,
+    "ip": _IP,
     "card": r"[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}",
     "key": r"AKIA[0-9A-Z]{16}",
     "hex": r"[0-9a-f]{32,64}",
     "upper_hex": r"[0-9A-F]{32,64}",
 }
 #: A text without any of these has no value of any kind.
-HINT = r"[0-9@]|AKIA|(?i:password)="
-_SECRET = r"(?<=(?i:password)=)[0-9A-Za-z]{6,64}"
+HINT = r"[0-9@]|AKIA|(?i:password)[\"']? ?[=:]"
+_SECRET = r"(?<=(?i:password)[\"']? ?[=:] ?[\"']?)[0-9A-Za-z]{6,64}"
+#: Codes of countries; whatever else stands after a plus counts as a code up to the first mark.
+_CODE = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3})"
 
 
 def _pattern() -> str:
-    """All kinds in one pattern. Back references are spelled out, as groups would be numbered anew."""
-    card = r"[0-9]{13,19}|[0-9]{4}(?:(?: [0-9]{4}){2} [0-9]{1,7}|(?:-[0-9]{4}){2}-[0-9]{1,7}|[ -][0-9]{6}[ -][0-9]{5})"
+    """All kinds in one pattern. A dot may stand before a value, but not a digit and a dot."""
     email = rf"(?<![A-Za-z0-9._%+-]){KINDS['email']}"
     ip = rf"(?<![0-9A-Za-z_]|[0-9]\.){KINDS['ip']}(?![0-9A-Za-z_]|\.[0-9])"
-    rest = "|".join(card if k == "card" else KINDS[k] for k in ("phone", "ssn", "date", "card", "key", "hex", "upper_hex"))
-    return rf"{email}|{_SECRET}{_AFTER}|{ip}|(?<![0-9A-Za-z_+.])(?:{rest}){_AFTER}"
+    rest = "|".join(_CARD if k == "card" else KINDS[k] for k in ("phone", "ssn", "date", "card", "key", "hex", "upper_hex"))
+    return rf"{email}|{_SECRET}{_AFTER}|{ip}|(?<![0-9A-Za-z_+]|[0-9]\.)(?:{rest}){_AFTER}"
 
 
 PATTERN = _pattern()
@@ -84,7 +107,7 @@ def scramble(value: Column, key: str, tweak: Column, hexadecimal: Column, back:
     return F.aggregate(_turns(back), start, turn, lambda s: F.concat(s["l"], s["r"]))
 
 
-def permute(left: Column, right: Column, of_left: int, of_right: int, key: str, tweak: Column, back: bool = False) -> Column:
+def permute(left: Column, right: Column, of_left: int, of_right: int | Column, key: str, tweak: Column, back: bool = False) -> Column:
     """The numeric Feistel network: struct l, r of the pair's image, l below of_left and r below of_right."""
     sign = -1 if back else 1
 
@@ -155,20 +178,33 @@ def _ssn(v: Column, key: str, back: bool) -> Column:
     return F.when(valid, _let(out, written)).otherwise(v)
 
 
+#: Month and day of all days of a common year: the first twelve of each month, then the others.
+_EARLY = 12 * 12
+_DAYS = "".join(f"{d:%m-%d}" for d in sorted((date(1901, 1, 1) + timedelta(n) for n in range(365)), key=lambda d: (d.day > 12, d)))
+
+
 def _date(v: Column, key: str, back: bool) -> Column:
-    """Days of 1900 to 2099, year and day of year; 29 February stays one, of another leap year."""
+    """Days of 1900 to 2099, year and day of year; 29 February stays one, of another leap year.
+
+    With slashes the month comes first, or the day where that is no date. A day after the twelfth stays one, so the
+    order of the pseudonym is read as it was, and a day is the same one in all formats.
+    """
     iso, slash = v.rlike("^....-"), v.rlike("/")
-    text = F.when(iso, v).when(slash, F.concat_ws("-", F.substring(v, 7, 4), F.substring(v, 1, 2), F.substring(v, 4, 2))).otherwise(F.concat_ws("-", F.substring(v, 7, 4), F.substring(v, 4, 2), F.substring(v, 1, 2)))
+    first, second, year = F.substring(v, 1, 2), F.substring(v, 4, 2), F.substring(v, 7, 4)
+    month_first = slash & F.concat_ws("-", year, first, second).try_cast("date").isNotNull()
+    text = F.when(iso, v).when(month_first, F.concat_ws("-", year, first, second)).otherwise(F.concat_ws("-", year, second, first))
     day = text.try_cast("date")
 
     def written(y: Column, md: Column) -> Column:
         year, m, d = F.lpad(y.cast("string"), 4, "0"), F.substring(md, 1, 2), F.substring(md, 4, 2)
-        return F.when(iso, F.concat_ws("-", year, m, d)).when(slash, F.concat_ws("/", m, d, year)).otherwise(F.concat_ws(".", d, m, year))
+        return F.when(iso, F.concat_ws("-", year, m, d)).when(month_first, F.concat_ws("/", m, d, year)).when(slash, F.concat_ws("/", d, m, year)).otherwise(F.concat_ws(".", d, m, year))
 
-    # the day's number within a year of 365 days: that of the same month and day of 1901
+    late = F.dayofmonth(day) > 12
+    # the day's number within a year of 365 days (that of the same month and day of 1901), among the early or the late ones
     common = F.datediff(F.concat(F.lit("1901-"), F.substring(text, 6, 5)).try_cast("date"), F.lit("1901-01-01").cast("date"))
-    pair = permute(F.year(day) - 1900, common, 200, 365, key, F.lit("date"), back)
-    usual = _let(pair, lambda p: written(p["l"] + 1900, F.date_format(F.date_add(F.lit("1901-01-01").cast("date"), p["r"].cast("int")), "MM-dd")))
+    place = F.when(late, common - 12 * F.month(day)).otherwise(12 * F.month(day) + F.dayofmonth(day) - 13)
+    pair = permute(F.year(day) - 1900, place, 200, F.when(late, 365 - _EARLY).otherwise(_EARLY), key, F.lit("date"), back)
+    usual = _let(pair, lambda p: written(p["l"] + 1900, F.substring(F.lit(_DAYS), ((p["r"] + F.when(late, _EARLY).otherwise(0)) * 5 + 1).cast("int"), F.lit(5))))
     # the 49 leap years from 1904 on
     leap = permute(F.floor((F.year(day) - 1904) / 28), F.pmod(F.floor((F.year(day) - 1904) / 4), F.lit(7)), 7, 7, key, F.lit("leap"), back)
     rare = _let(leap, lambda p: written(F.lit(1904) + p["l"] * 28 + p["r"] * 4, F.lit("02-29")))
@@ -182,7 +218,7 @@ def _email(v: Column, key: str, back: bool) -> Column:
 
 def _phone(v: Column, key: str, back: bool) -> Column:
     """The country code stays; a number without one is of +1."""
-    prefix = F.regexp_extract(v, r"^(\+1|\+[0-9]{1,3})", 1)
+    prefix = F.regexp_extract(v, _CODE, 0)
     country = F.when(prefix == "", F.lit("+1")).otherwise(prefix)
     rest = F.substring(v, F.length(prefix) + 1, F.length(v))
     digits = scramble(_digits(rest), key, F.concat(F.lit("phone"), country), F.lit(False), back)

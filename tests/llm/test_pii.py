@@ -79,6 +79,30 @@ def test_secrets_without_digits_and_in_capitals(docs):
     assert "ABCDEFGHIJKLMNOP" not in rows[0]["text"] and "abcdefgh" not in rows[1]["text"] and rows[2]["text"].isupper()
 
 
+FORMS = ["+15551234567", "+1 555 123 4567", "(555) 123 4567", "555 123 4567", "+441632960960", "+44 1632 960960", "+33 1 23 45 67 89", "+49 (30) 1234567", "Tel.555-123-4567", "Nr.4111111111111111", "am.25/12/1990", "25/12/1990", "29/02/1992", "password: hunter22", 'Password: "correcthorse"']
+
+
+def test_common_forms_of_each_kind(docs):
+    rows = run(docs([f"a {v}, b" for v in FORMS]))
+    assert [i for i, r in rows.items() if r["n"] != 1 or r["text"] == f"a {FORMS[i]}, b"] == []
+    back = run(docs([rows[i]["text"] for i in range(len(FORMS))]), back=True)
+    assert [back[i]["text"] for i in range(len(FORMS))] == [f"a {v}, b" for v in FORMS]
+    bare = ["".join(c for c in rows[i]["text"] if c.isdigit()) for i in range(6)]
+    assert bare[0] == bare[1] == "1" + bare[2] == "1" + bare[3] and bare[4] == bare[5] and bare[4][:2] == "44"
+    near = run(docs(["+44 1632 960960 27.65.93.188 x", "+44 1632 960960 1990-12-25 x", "+44 1632 960960 20x", "1.555-123-4567"]))
+    assert [near[i]["n"] for i in range(4)] == [2, 2, 1, 0] and near[2]["text"].endswith(" 20x")
+
+
+def test_days_first_stay_days_first(docs):
+    days = [f"{d:02}/{m:02}/{y}" for y in (1900, 1990, 2099) for m in range(1, 13) for d in (13, 20, 28)]
+    rows = run(docs([f"{v} {v[6:]}-{v[3:5]}-{v[:2]} {v[3:5]}/{v[:2]}/{v[6:]}" for v in days]))
+    new = [rows[i]["text"].split() for i in range(len(days))]
+    assert len({a for a, _, _ in new}) == len(days) and all(a[:2] > "12" >= a[3:5] for a, _, _ in new)
+    assert all(b == f"{a[6:]}-{a[3:5]}-{a[:2]}" and c == f"{a[3:5]}/{a[:2]}/{a[6:]}" for a, b, c in new)
+    back = run(docs([a for a, _, _ in new]), back=True)
+    assert [back[i]["text"] for i in range(len(days))] == days
+
+
 def test_odd_documents(odd):
     rows = pseudonymize(odd, "k", count="n").collect()
     assert sorted((str(r["doc_id"]), r["text"] or "") for r in rows) == sorted((str(r["doc_id"]), r["text"] or "") for r in odd.collect())
