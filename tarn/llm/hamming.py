@@ -89,9 +89,10 @@ def _search(k: int):
 
 
 def sign_codes(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, code): bit i is 1 where component i is above zero, for the first 64 components of usable vectors."""
+    """(vec_id, code): bit i is 1 where component i is above zero, for usable vectors. Wider ones than a code are refused."""
     rows = usable(vectors, vec_id, vector)
-    bits = F.transform(F.slice("v", 1, BITS), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    wide = F.raise_error(F.format_string(f"vectors of %d components do not fit a code of {BITS} bits", F.size("v"))).cast("array<double>")
+    bits = F.transform(F.when(F.size("v") > BITS, wide).otherwise(F.col("v")), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
     # bits are disjoint, so OR-ing them is exact also for the sign bit
     return rows.select("vec_id", F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)).alias("code"))
 

@@ -127,3 +127,8 @@ def test_sign_codes(spark, odd):
     wide = table(spark, [(1, [1.0] * 64), (2, [-1.0] * 63 + [1.0])])
     assert {(r["vec_id"], r["code"]) for r in sign_codes(wide).collect()} == {(1, -1), (2, -(1 << 63))}
     assert nearest_codes(sign_codes(table(spark, [])), F.col("vec_id") >= 0, 3).collect() == []
+
+
+def test_sign_codes_of_wide_vectors_are_refused(spark):
+    with pytest.raises(Exception, match="65 components do not fit a code of 64 bits"):
+        sign_codes(table(spark, [(1, [1.0] * 65), (2, [-1.0] * 65)])).collect()
