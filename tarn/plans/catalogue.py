@@ -344,6 +344,10 @@ def _scalars() -> None:
         "search_tokens", lambda s, d: document(s, d).filter(attr("lang") == "en").frame().select("uuid", F.size(search_tokens(F.col("text"))).alias("n")),
         "SELECT doc_id AS uuid, CAST(len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) AS INTEGER) AS n FROM documents WHERE lang = 'en'",
     )
+    _register(
+        "search_tokens_all", lambda s, d: document(s, d).frame().select("uuid", F.size(search_tokens(F.col("text"))).alias("n")),
+        "SELECT doc_id AS uuid, CAST(len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) AS INTEGER) AS n FROM documents",
+    )
 
 
 @cache

@@ -37,3 +37,9 @@ def test_query_agrees_with_sql(spark, duck, name):
     theirs = duck.execute(catalogue.oracle_sql()[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert rows(ours) == rows(theirs)
+
+
+def test_search_tokens_of_all_languages(spark, duck):
+    ours = {r["uuid"] for r in catalogue.queries()["search_tokens_all"](spark, SF).select("uuid").collect()}
+    assert ours == {k for (k,) in duck.execute("SELECT doc_id FROM documents").fetchall()}
+    assert duck.execute("SELECT count(*) FROM documents WHERE lang <> 'en'").fetchone()[0] > 0
