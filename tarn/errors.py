@@ -23,9 +23,8 @@ class ValueFault(SchemaError):
 
 class DefinitionFault(SchemaError):
     codes = (
-        "reserved_entity", "slot_type_mismatch", "slot_outside_pool", "slot_beyond_capacity", "reserved_slot", "shared_slot", "exhausted_pool",
-        "slot_outside_payload", "slot_beyond_payload", "exhausted_payload", "unsupported_pattern", "malformed_pattern", "unsupported_allowed",
-        "unsupported_bounds", "narrowed_bounds", "duplicate_aggregate", "unknown_grouping", "unknown_date", "non_temporal_date", "non_numeric_metric",
+        "reserved_entity", "shared_slot", "exhausted_pool", "exhausted_payload", "unsupported_pattern", "malformed_pattern", "unsupported_allowed", "unsupported_bounds",
+        "narrowed_bounds", "duplicate_aggregate", "unknown_grouping", "unknown_date", "non_temporal_date", "non_numeric_metric",
         "invalid_shards", "grouped_histogram", "invalid_bounds",
     )
 

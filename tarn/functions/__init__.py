@@ -1,6 +1,7 @@
 from tarn.functions.scalars import (
     bucket,
     canonical,
+    compiles,
     digest,
     epoch_millis,
     from_value_json,
@@ -15,6 +16,6 @@ from tarn.functions.scalars import (
 )
 
 __all__ = [
-    "bucket", "canonical", "digest", "epoch_millis", "from_value_json", "has_tokens", "hour_of", "hour_of_week", "salted",
+    "bucket", "canonical", "compiles", "digest", "epoch_millis", "from_value_json", "has_tokens", "hour_of", "hour_of_week", "salted",
     "search_tokens", "value_json", "week_of", "whole_match",
 ]

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tarn.types import FieldType
 
+#: Doubles beyond this size, or below a ten thousandth, are written with an exponent.
+LARGEST_PLAIN = float(1 << 53)
+
 
 def epoch_millis(ts: Column) -> Column:
     """Milliseconds since 1970, rounded; Spark's own function floors."""
@@ -16,7 +24,7 @@ def epoch_millis(ts: Column) -> Column:
 def _plain(c: Column, kind: FieldType) -> Column:
     match kind.label:
         case "double":
-            return c.cast("double").cast("string")
+            return double_text(c)
         case "timestamp":
             return epoch_millis(c).cast("string")
         case "bytes":
@@ -25,6 +33,32 @@ def _plain(c: Column, kind: FieldType) -> Column:
             return c.cast("string")
 
 
+def double_text(c: Column) -> Column:
+    """The shortest decimal that reads back as the double: 0.0001, 1e-05, 12345678.9, 1e+16; always with a point or an
+    exponent. Spark's own cast writes other forms."""
+    x = c.cast("double")
+    # 15 digits read back where any shorter decimal does; 17 always do
+    scientific = [F.format_string(f"%.{n}e", x) for n in (14, 15, 16)]
+    text = F.when(F.abs(x) < float("inf"), F.coalesce(*[F.when(s.try_cast("double") == x, s) for s in scientific[:2]], scientific[2]))
+
+    def written(s: Column) -> Column:
+        sign = F.when(s.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+        digits = F.rtrim(F.regexp_replace(F.substring_index(s, "e", 1), "[-.]", ""), F.lit("0"))
+        digits = F.when(digits == "", F.lit("0")).otherwise(digits)
+        power = F.substring_index(s, "e", -1).cast("int")
+        rest = F.substring(digits, F.lit(2), F.length(digits))
+        exponent = F.concat(F.lit("e"), F.when(power < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
+        large = F.concat(F.substring(digits, F.lit(1), F.lit(1)), F.when(rest == "", F.lit("")).otherwise(F.concat(F.lit("."), rest)), exponent)
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+        whole = F.rpad(F.substring(digits, F.lit(1), power + 1), power + 1, F.lit("0"))
+        part = F.substring(digits, power + 2, F.length(digits))
+        plain = F.concat(whole, F.lit("."), F.when(part == "", F.lit("0")).otherwise(part))
+        return F.concat(sign, F.when((power < -4) | (F.abs(x) > LARGEST_PLAIN), large).when(power < 0, small).otherwise(plain))
+
+    odd = F.when(F.isnan(x), F.lit("nan")).when(x == float("inf"), F.lit("inf")).when(x == -float("inf"), F.lit("-inf"))
+    return F.coalesce(odd, F.element_at(F.transform(F.array(text), written), 1))
+
+
 #: What a canonical key begins with, by type.
 PREFIX = {"int": "i", "double": "d", "timestamp": "t", "bytes": "b", "reference": "r"}
 
@@ -61,9 +95,32 @@ def search_tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def words_of(text: str) -> list[str]:
+    """search_tokens() of a literal, each once: categories L and N are what the pattern calls letters and numbers."""
+    apart = "".join(x if unicodedata.category(x)[0] in "LN" else " " for x in text.lower())
+    return list(dict.fromkeys(apart.split(" "))) if apart.strip(" ") else []
+
+
 def has_tokens(c: Column, needle: str) -> Column:
-    """Every word of needle is a word of c; of no words, all c that are not null."""
-    return F.size(F.array_except(search_tokens(F.lit(needle)), search_tokens(c))) == F.when(c.isNotNull(), 0)
+    """Every word of needle is a word of c; of no words, all c that are not null.
+
+    A word is looked for where it stands, up to its first place, so no text is cut into all of its words.
+    """
+    low = F.lower(c)
+    found = F.when(c.isNotNull(), F.lit(True))
+    for word in (w for w in words_of(needle) if w):
+        found = found & low.contains(word) & low.rlike(rf"(?<![\p{{L}}\p{{N}}]){re.escape(word)}(?![\p{{L}}\p{{N}}])")
+    return found
+
+
+def compiles(pattern: str) -> bool:
+    """Whether the engine that will run the pattern takes it: Java's, or Python's where there is no session yet."""
+    context = SparkContext._active_spark_context
+    try:
+        context._jvm.java.util.regex.Pattern.compile(pattern) if context else re.compile(pattern)
+    except (re.error, IllegalArgumentException):
+        return False
+    return True
 
 
 def whole_match(c: Column, pattern: str) -> Column:

@@ -54,10 +54,8 @@ def build(df: DataFrame, aggregate: Aggregate, entity: Entity, written: Column)
     return contributions(df, aggregate, entity, written).groupBy("grp", "hour").agg(combine(aggregate).alias("value"))
 
 
-def fold(cells: DataFrame, aggregate: Aggregate, keys: list[str] | None = None) -> DataFrame:
-    """One row, one value: over all groups, or those of keys. Null where there is no cell."""
-    if keys is not None:
-        cells = cells.where(F.col("grp").isin(keys) if keys else F.lit(False))
+def fold(cells: DataFrame, aggregate: Aggregate) -> DataFrame:
+    """One row, one value over all groups. Null where there is no cell."""
     return cells.agg(combine(aggregate).alias("value"))
 
 

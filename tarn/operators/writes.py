@@ -8,18 +8,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.errors import SchemaError, ValueFault
-from tarn.functions import whole_match
+from tarn.functions import from_value_json, whole_match
 from tarn.operators import rollups
 from tarn.schema import MAX, MIN, Aggregate, Entity, Field
+from tarn.types import takes_column
 
 UUID, VERSION, WRITTEN = "uuid", "_version", "_written"
+#: A record with this set takes its key's record away.
+GONE = "_gone"
 
 
 def with_defaults(df: DataFrame, entity: Entity) -> DataFrame:
-    """Every active field as a column of its type, under its physical name; omitted ones have their default, or are missing."""
-    given = set(df.columns)
+    """Every active field as a column of its type, under its physical name; omitted ones have their default, or are missing.
+
+    A column that its field cannot hold whole (text or fractions for whole numbers, say) is refused, never cast.
+    """
+    given = {f.name: f.dataType for f in df.schema.fields}
     out = []
     for f in entity.active_fields():
+        if f.name in given and not takes_column(f.type, given[f.name]):
+            raise SchemaError("type_mismatch", entity=entity.name, field=f.name)
         c = F.col(f"`{f.name}`") if f.name in given else F.lit(None)
         c = c.cast(f.type.spark)
         if f.default is not None:
@@ -33,13 +41,26 @@ def with_defaults(df: DataFrame, entity: Entity) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c == UUID or c.startswith("_")], *out)
 
 
-def _breaks(f: Field) -> list[tuple[str, Column]]:
+def from_values(df: DataFrame, entity: Entity) -> DataFrame:
+    """Records given as JSON values (as value_json() writes them), with defaults; _mistyped names the fields whose value is
+    of another type than theirs."""
+    active = {f.name: f for f in entity.active_fields() if f.name in df.columns}
+    typed = {name: from_value_json(F.col(f"`{name}`"), f.type) for name, f in active.items()}
+    wrong = [F.when(F.col(f"`{name}`").isNotNull() & c.isNull(), F.lit(name)) for name, c in typed.items()]
+    rows = df.withColumn("_mistyped", F.array_compact(F.array(*wrong)) if wrong else F.array().cast("array<string>"))
+    return with_defaults(rows.withColumns(typed), entity)
+
+
+def _breaks(f: Field, typed: bool = True) -> list[tuple[str, Column]]:
     """A field's faults in the order in which they are looked for, each with the column that is true where it holds."""
     c = F.col(f"`{f.column}`")
     every = (lambda test: F.exists(c, lambda x: ~test(x))) if f.type.is_list else (lambda test: ~test(c))
     out = []
+    mistyped = F.lit(False) if typed else F.array_contains("_mistyped", f.name)
     if f.required:
-        out.append(("missing_field", c.isNull()))
+        out.append(("missing_field", c.isNull() & ~mistyped))
+    if not typed:
+        out.append(("type_mismatch", mistyped))
     if f.allowed is not None:
         out.append(("outside_domain", every(lambda x: x.isin(*f.allowed))))
     if f.pattern is not None:
@@ -51,15 +72,15 @@ def _breaks(f: Field) -> list[tuple[str, Column]]:
     return out
 
 
-def fault(entity: Entity) -> Column:
+def fault(entity: Entity, typed: bool = True) -> Column:
     """The first fault of a record as 'code:field', null where there is none. Missing values break nothing but required."""
-    tests = [F.when(broken, F.lit(f"{code}:{f.name}")) for f in entity.active_fields() for code, broken in _breaks(f)]
+    tests = [F.when(broken, F.lit(f"{code}:{f.name}")) for f in entity.active_fields() for code, broken in _breaks(f, typed)]
     return F.coalesce(*tests) if tests else F.lit(None).cast("string")
 
 
 def violations(df: DataFrame, entity: Entity) -> DataFrame:
     """Records that break a constraint, with their first fault."""
-    return df.withColumn("fault", fault(entity)).where("fault is not null")
+    return df.withColumn("fault", fault(entity, "_mistyped" not in df.columns)).where("fault is not null")
 
 
 def raise_first(df: DataFrame, entity: Entity) -> None:
@@ -67,7 +88,7 @@ def raise_first(df: DataFrame, entity: Entity) -> None:
     row = violations(df, entity).select("fault").first()
     if row:
         code, _, name = row["fault"].partition(":")
-        raise SchemaError(code, field=name) if code == "missing_field" else ValueFault(code, field=name)
+        raise SchemaError(code, field=name) if code in SchemaError.codes else ValueFault(code, field=name)
 
 
 def one_per_key(df: DataFrame, position: str = "_position") -> DataFrame:
@@ -82,21 +103,33 @@ def replaced(current: DataFrame, batch: DataFrame) -> DataFrame:
     return current.join(batch.select(UUID), UUID, "left_anti").unionByName(batch, allowMissingColumns=True)
 
 
-def gains(batch: DataFrame, previous: DataFrame | None, aggregate: Aggregate, entity: Entity, written: Column) -> DataFrame:
-    """(grp, hour, value) that a batch adds to a rollup.
+def _given(df: DataFrame, aggregates: list[Aggregate], entity: Entity, written: Column, sign: int) -> DataFrame:
+    """(aggregate, grp, hour, value) that the records give to each rollup: one pass over them, whatever the rollups' number."""
+    cells = [
+        F.struct(F.lit(a.name).alias("aggregate"), rollups.group_key(a, entity).alias("grp"), rollups.cell_hour(a, entity, written).alias("hour"),
+                 F.when(F.col(VERSION) >= a.since, rollups.measure(a, entity) * sign).alias("value"))
+        for a in aggregates
+    ]
+    return df.select(F.inline(F.filter(F.array(*cells), lambda c: c["value"].isNotNull() & c["grp"].isNotNull())))
+
+
+def gains(batch: DataFrame, previous: DataFrame, entity: Entity, written: Column) -> DataFrame:
+    """(aggregate, grp, hour, value) that a batch adds to the entity's rollups, with one shuffle for all of them.
 
     Sums and counts lose what the records' previous versions had given, in the hour of this batch where the rollup has no
     date; what nets to zero adds no cell. Minima and maxima are running: they never give anything back. Versions from
-    before the aggregate was declared take no part, on either side.
+    before the aggregate was declared take no part, on either side. A record that is gone gives nothing.
     """
-    seen = F.col(VERSION) >= aggregate.since
-    new = rollups.contributions(batch.where(seen), aggregate, entity, written)
-    if aggregate.metric in (MIN, MAX):
-        return new.groupBy("grp", "hour").agg(rollups.combine(aggregate).alias("value"))
-    if previous is not None:
-        old = rollups.contributions(previous.where(seen), aggregate, entity, written)
-        new = new.unionByName(old.withColumn("value", -F.col("value")))
-    return new.groupBy("grp", "hour").agg(F.sum("value").alias("value")).where("value <> 0")
+    every = list(entity.aggregates)
+    least, most = ([a.name for a in every if a.metric == m] or [""] for m in (MIN, MAX))
+    summed = [a for a in every if a.metric not in (MIN, MAX)]
+    cells = _given(batch.where(~F.col(GONE)) if GONE in batch.columns else batch, every, entity, written, 1)
+    if summed:
+        cells = cells.unionByName(_given(previous, summed, entity, written, -1))
+    totals = cells.groupBy("aggregate", "grp", "hour").agg(F.sum("value").alias("sum"), F.min("value").alias("min"), F.max("value").alias("max"))
+    extreme = F.when(F.col("aggregate").isin(least), F.col("min")).when(F.col("aggregate").isin(most), F.col("max"))
+    value = F.coalesce(extreme, F.when(F.col("sum") != 0, F.col("sum")))
+    return totals.select("aggregate", "grp", "hour", value.alias("value")).where("value is not null")
 
 
 def from_log(log: DataFrame, aggregate: Aggregate, entity: Entity, order: str = "_batch") -> DataFrame:

@@ -14,7 +14,8 @@ from tarn.operators.filters import attr
 from tarn.plans.query import Cursor, Query, over
 from tarn.registry import Registry
 from tarn.schema import Aggregate, Entity
-from tarn.sources import read_table
+from tarn.sources import read_table, scratch_dir
+from tarn.sources.store import Store
 from tarn.types import FieldType
 
 BOUNDS = [5.0, 10.0, 25.0, 50.0, 100.0]
@@ -312,6 +313,20 @@ def _writes() -> None:
         "SELECT o_orderkey AS uuid, CASE WHEN o_orderkey % 2 = 0 THEN floor(o_totalprice) END AS amount, CASE WHEN o_orderkey % 2 = 1 THEN o_totalprice END AS total, o_orderpriority AS priority FROM orders",
     )
 
+    def mistyped(s: SparkSession, d: str) -> DataFrame:
+        rows = customers(s, d)
+        other = value_json(F.col("balance").cast("string"), FieldType.STRING)
+        balance = F.when(F.col("uuid") % 3 == 0, other).when(F.col("uuid") % 7 > 0, value_json(F.col("balance"), FieldType.DOUBLE))
+        given = rows.select("uuid", balance.alias("balance"), value_json(F.col("name"), FieldType.STRING).alias("name"))
+        return writes.violations(writes.from_values(given, checked), checked).select("uuid", "fault")
+
+    _register(
+        "violations_type_mismatch", mistyped,
+        """SELECT * FROM (SELECT c_custkey AS uuid, CASE WHEN c_custkey % 3 = 0 THEN 'type_mismatch:balance' WHEN c_custkey % 7 = 0 THEN NULL
+            WHEN c_acctbal < 0 THEN 'below_minimum:balance' WHEN c_acctbal > 9000 THEN 'above_maximum:balance'
+            WHEN NOT regexp_full_match(c_name, 'Customer#\\d+') THEN 'pattern_mismatch:name' END AS fault FROM customer) WHERE fault IS NOT NULL""",
+    )
+
     def keys(s: SparkSession, d: str) -> DataFrame:
         p = parts(s, d)
         return p.select("uuid", canonical(F.col("size"), FieldType.INT).alias("int_key"), canonical(F.col("brand"), FieldType.STRING).alias("string_key"), canonical(F.col("words"), FieldType.STRING_LIST).alias("list_key"), canonical(F.array("size", "uuid"), FieldType.INT_LIST).alias("ints_key"), canonical(F.col("name").cast("binary"), FieldType.BYTES).alias("bytes_key"))
@@ -326,6 +341,78 @@ def _writes() -> None:
     )
 
 
+#: Doubles of every form, by an order's key: with many places, whole, tiny and huge, both signs.
+_DOUBLE_SQL = "CASE o_orderkey % 6 WHEN 0 THEN o_totalprice WHEN 1 THEN o_totalprice * 1e-9 WHEN 2 THEN (o_orderkey % 5) * 1e16 WHEN 3 THEN -(o_orderkey % 4) * 1e-5 WHEN 4 THEN (o_orderkey % 3) + 12345678.9::DOUBLE ELSE (o_orderkey % 7) * 0.0001::DOUBLE END"
+
+
+def _doubles() -> None:
+    r = Registry()
+    r.schema("reading").field("level", "double").create()
+    reading = r.definition("reading")
+
+    def readings(s: SparkSession, d: str) -> Query:
+        k, total = F.col("uuid"), F.col("total")
+        level = F.when(k % 6 == 0, total).when(k % 6 == 1, total * 1e-9).when(k % 6 == 2, (k % 5) * 1e16).when(k % 6 == 3, -(k % 4) * 1e-5).when(k % 6 == 4, (k % 3) + 12345678.9).otherwise((k % 7) * 0.0001)
+        return over(reading, orders(s, d).select("uuid", (level + 0.0).alias("level")))
+
+    among = [12345678.9, 0.0001, 1e16, -1e-5, 0.0, 2, 1e-300]
+    _register(
+        "count_double_group", lambda s, d: readings(s, d).filter(attr("level").isin(among)).count_frame(),
+        f"SELECT CAST(count(*) AS BIGINT) AS value FROM (SELECT {_DOUBLE_SQL} + 0.0 AS level FROM orders) WHERE level IN ({', '.join(f'{float(v)!r}::DOUBLE' for v in among)})",
+    )
+    _register(
+        "totals_double_keys", lambda s, d: readings(s, d).totals(group="level"),
+        f"SELECT 'd' || CAST(level AS VARCHAR) AS grp, CAST(count(*) AS DOUBLE) AS value FROM (SELECT {_DOUBLE_SQL} + 0.0 AS level FROM orders) GROUP BY 1",
+    )
+
+
+def _order_store(s: SparkSession, d: str) -> Store:
+    """A store of its own with all orders, then a batch that rewrites those of even key, each written by its columns."""
+    store = Store(s, scratch_dir(s, "store"))
+    store.registry.publish(entity("order"))
+    for rows, hour in zip(_rewrites(s, d), (0, 5), strict=True):
+        store.write("order", rows.drop("_version", "_written").withColumn("uuid", F.col("uuid").cast("string")), now=dt.datetime(2024, 1, 1 + hour // 5, hour, tzinfo=dt.timezone.utc), batch=hour, source="catalogue")
+    return store
+
+
+def _stored() -> None:
+    """The same folds from records and rollups that a store has on disk."""
+    plain = lambda df: df.withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+    def retried(s: SparkSession, d: str) -> DataFrame:
+        store = Store(s, scratch_dir(s, "store"))
+        store.registry.publish(entity("event"))
+        rows = events(s, d).withColumn("uuid", F.col("uuid").cast("string"))
+        for part, batch in ((0, 1), (1, 2), (0, 1), (1, 2), (0, 1)):
+            store.write("event", rows.where(F.col("uuid").cast("long") % 2 == part), batch=batch, source="retry")
+        store.write("event", rows.where(F.col("uuid").cast("long") % 5 == 0), batch=1, source="another")  # the same records again
+        return rounded(plain(store.query("event").series(START, END, "value", "sum", "type")))
+
+    def compacted(s: SparkSession, d: str) -> DataFrame:
+        store = _order_store(s, d)
+        store.compact("order")
+        store.write("order", [], deleting=["1", "2", "3", "no such key"], now=dt.datetime(2024, 1, 3, tzinfo=dt.timezone.utc))
+        store.compact("order")
+        return store.query("order").totals(group="status")
+
+    def fetched(s: SparkSession, d: str) -> DataFrame:
+        store = _order_store(s, d)
+        store.compact("order")
+        store.write("order", [{"uuid": "39", "status": "Z", "total": 1, "priority": "none"}], deleting=["7"])
+        rows = store.fetch_in_order("order", ["2500", "39", "1", "7", "-1", "100", "2", "39"])
+        return rows.select(F.col("uuid").cast("long").alias("uuid"), "status", "total", "priority")
+
+    _register("store_records", lambda s, d: _order_store(s, d).query("order").frame().select(F.col("uuid").cast("long").alias("uuid"), "status", "total", "priority"), _NEW + "SELECT * FROM new")
+    _register("store_totals_after_rewrite", lambda s, d: rounded(_order_store(s, d).query("order").totals("total", "sum", "priority"), 3), _NEW + "SELECT priority AS grp, round(sum(total), 3) AS value FROM new GROUP BY 1")
+    within = f"date_trunc('hour', ts) >= TIMESTAMP '{START}' AND date_trunc('hour', ts) < TIMESTAMP '{END}'"
+    _register("store_series_after_retry", retried, f"SELECT event_type AS grp, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, round(sum(value), 4) AS value FROM events WHERE {within} GROUP BY 1, 2")
+    _register("store_count_after_compact", compacted, _NEW + "SELECT status AS grp, CAST(count(*) AS DOUBLE) AS value FROM new WHERE uuid NOT IN (1, 2, 3) GROUP BY 1")
+    _register(
+        "store_fetch", fetched,
+        _NEW + """, now AS (SELECT uuid, status, total, priority FROM new WHERE uuid IN (2500, 1, 100, 2) UNION ALL SELECT 39, 'Z', 1.0, 'none' UNION ALL SELECT 39, 'Z', 1.0, 'none') SELECT * FROM now""",
+    )
+
+
 def _scalars() -> None:
     def json_values(s: SparkSession, d: str) -> DataFrame:
         p = parts(s, d)
@@ -352,7 +439,7 @@ def _scalars() -> None:
 
 @cache
 def _all() -> dict[str, tuple]:
-    for declare in (_filters, _records, _folds, _series, _writes, _scalars):
+    for declare in (_filters, _records, _folds, _series, _writes, _doubles, _stored, _scalars):
         declare()
     return _ENTRIES
 

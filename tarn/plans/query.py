@@ -122,15 +122,19 @@ class Query:
 
     # folds over rollups
 
+    def _among(self, aggregate: Aggregate, keys: list[str | float] | None) -> DataFrame:
+        cells = self.cells(aggregate)
+        return cells if keys is None else cells.where(matching.in_groups(F.col("grp"), keys))
+
     def count_frame(self) -> DataFrame:
         aggregate, keys = matching.scalar(self.entity, self.alternatives, None, COUNT)
         n = F.coalesce(F.col("value"), F.lit(0.0)).cast("long")
-        return rollups.fold(self.cells(aggregate), aggregate, keys).select((n if self.ceiling is None else F.least(n, F.lit(self.ceiling))).alias("value"))
+        return rollups.fold(self._among(aggregate, keys), aggregate).select((n if self.ceiling is None else F.least(n, F.lit(self.ceiling))).alias("value"))
 
     def _fold(self, name: str, metric: str) -> DataFrame:
         matching.numeric(self.entity, name, metric)
         aggregate, keys = matching.scalar(self.entity, self.alternatives, name, metric)
-        return rollups.fold(self.cells(aggregate), aggregate, keys)
+        return rollups.fold(self._among(aggregate, keys), aggregate)
 
     def sum_frame(self, name: str) -> DataFrame:
         return self._fold(name, SUM).select(F.coalesce("value", F.lit(0.0)).alias("value"))
@@ -146,7 +150,7 @@ class Query:
         matching.numeric(self.entity, name, "average")
         total = self._fold(name, SUM)
         aggregate, keys = matching.scalar(self.entity, self.alternatives, None, COUNT)
-        n = rollups.fold(self.cells(aggregate), aggregate, keys).withColumnRenamed("value", "n")
+        n = rollups.fold(self._among(aggregate, keys), aggregate).withColumnRenamed("value", "n")
         both = total.withColumn("n", F.lit(None).cast("double")).unionByName(n.withColumn("value", F.lit(None).cast("double")))
         return both.agg(F.max("value").alias("value"), F.max("n").alias("n")).select(F.when(F.col("n") != 0, F.col("value") / F.col("n")).alias("value"))
 
@@ -168,8 +172,7 @@ class Query:
     def _grouped(self, name: str | None, metric: str, group: str | None, fold) -> DataFrame:
         def cells(field: str | None, kind: str) -> DataFrame:
             aggregate, keys = matching.grouped(self.entity, self.alternatives, group, field, kind)
-            own = self.cells(aggregate)
-            return fold(own if keys is None else own.where(F.col("grp").isin(keys) if keys else F.lit(False)), aggregate)
+            return fold(self._among(aggregate, keys), aggregate)
 
         if name is not None:
             matching.numeric(self.entity, name, metric)

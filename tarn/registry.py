@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from tarn.errors import SchemaError
 from tarn.schema import Entity, SchemaBuilder
@@ -36,7 +37,7 @@ class Registry:
         if self.path:
             fs = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
             if fs.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(fs):
-                rows = self.spark.read.parquet(self.path).where(f"entity = '{entity}'").orderBy("version", ascending=False).limit(1).collect()
+                rows = self.spark.read.parquet(self.path).where(F.col("entity") == F.lit(entity)).orderBy("version", ascending=False).limit(1).collect()
         if not rows:
             raise SchemaError("unknown_entity", entity=entity)
         return Entity.from_json(rows[0]["definition"]).validate()

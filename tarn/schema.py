@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import json
-import re
 from collections import Counter
 from dataclasses import asdict, dataclass, field, replace
 
 from tarn.errors import DefinitionFault, SchemaError
+from tarn.functions import compiles
 from tarn.types import PAYLOAD_CAPACITY, FieldType
 
 COUNT, SUM, MIN, MAX, HISTOGRAM = "count", "sum", "min", "max", "histogram"
@@ -111,10 +111,8 @@ class Entity:
         if f.pattern is not None:
             if f.type not in texts:
                 raise DefinitionFault("unsupported_pattern", field=f.name, type=f.type.label)
-            try:
-                re.compile(f.pattern)
-            except re.error as error:
-                raise DefinitionFault("malformed_pattern", field=f.name) from error
+            if not compiles(f.pattern):
+                raise DefinitionFault("malformed_pattern", field=f.name)
         if f.allowed is not None and f.type not in texts:
             raise DefinitionFault("unsupported_allowed", field=f.name, type=f.type.label)
         base = f.type.element if f.type.is_list else f.type

@@ -1,12 +1,16 @@
 """The store: entities, their records and rollups as tables under one folder.
 
-    schema/                                   published definitions
-    records/<entity>/bucket=<n>/              current records; a key's bucket is a hash of it
-    rollups/<entity>/batch=<n>/aggregate=<a>/week=<w>/    cells that each batch gained or lost
-
-An upsert rewrites only the buckets that its keys fall in. Rollups are append-only: a batch writes its own folder, and
-writing it again replaces that folder, so a batch that is retried counts once. Reads fold over all batches; compact()
-brings them together. Readers of one aggregate open only its own folders, and a series only the weeks that it covers.
+    schema/                                              published definitions
+    data/<entity>/commit=<n>-delta/records/              the records that one batch wrote or took away
+    data/<entity>/commit=<n>-base/records/bucket=<b>/    all records up to a compaction; a key's bucket is a hash of it
+    data/<entity>/commit=<n>-*/of=cells/aggregate=<a>/week=<w>/ cells that the batch gained or lost, or all of them
+
+A batch writes its own records and cells and nothing else, and one rename makes both visible; a batch that fails leaves
+nothing that is read. A batch of a named source counts once, however often it is written. Reads put the deltas over the
+base: the base is scanned with its filters pushed down, less the keys of the deltas. compact() makes a new base, with
+buckets in proportion to its rows; writing does so by itself where deltas have come to outweigh the base, so rewriting
+costs a constant share of what was written. Readers of one aggregate open only its own folders, and a series only the
+weeks that it covers.
 
 A store has one writer at a time. Keys belong to their entity: the same key may be used in several.
 """
@@ -15,21 +19,26 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid as ids
+from functools import reduce
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarn.errors import SchemaError
 from tarn.functions import salted, week_of
-from tarn.operators import rollups, writes
-from tarn.operators.writes import UUID, VERSION, WRITTEN
+from tarn.operators import writes
+from tarn.operators.writes import GONE, UUID, VERSION, WRITTEN
 from tarn.plans.query import Query
 from tarn.registry import Registry
 from tarn.schema import Aggregate, Entity, SchemaBuilder
 from tarn.session import prepare
+from tarn.sources.commits import BASE, DELTA, Commit, Commits, Files, joined
+from tarn.types import takes
 
-BUCKETS = 64
+BUCKETS, ROWS_IN_BUCKET = 64, 4_000_000
+#: So many deltas, with half as many rows as the base at least, become a new base.
+DELTAS = 8
 CELLS = "grp string, hour timestamp, value double"
 
 
@@ -37,6 +46,7 @@ class Store:
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         self.spark, self.path, self.buckets = prepare(spark), path.rstrip("/"), buckets
         self.registry = Registry(spark, f"{self.path}/schema")
+        self.files = Files(spark)
 
     def schema(self, entity: str) -> SchemaBuilder:
         return self.registry.schema(entity)
@@ -48,7 +58,7 @@ class Store:
 
     def query(self, entity: str) -> Query:
         definition = self.registry.definition(entity)
-        return Query(definition, self._stored(definition).drop("bucket"), lambda a: self.cells(definition, a))
+        return Query(definition, self._stored(definition), lambda a: self.cells(definition, a))
 
     def records(self, entity: str) -> DataFrame:
         """All records, each as its own version of the schema saw it."""
@@ -58,166 +68,211 @@ class Store:
     def fetch(self, entity: str, keys: list[str]) -> DataFrame:
         """Records by key, in the order of their keys; keys without one are left out."""
         definition = self.registry.definition(entity)
-        wanted = self.spark.createDataFrame([(k,) for k in keys], "uuid string").select(UUID, salted(F.col(UUID), self.buckets).alias("bucket"))
-        touched = [r[0] for r in wanted.select("bucket").distinct().collect()]
-        rows = self._stored(definition).where(F.col("bucket").isin(touched) if touched else F.lit(False)).where(F.col(UUID).isin(list(keys)))
+        rows = self._stored(definition, keys).where(F.col(UUID).isin(list(keys)))
         return writes.as_of_version(rows, definition).orderBy(UUID)
 
+    def fetch_in_order(self, entity: str, keys: list[str]) -> DataFrame:
+        """Records by key, in the order asked; keys without one are left out, a key asked for twice comes twice."""
+        places = self.spark.createDataFrame(list(enumerate(keys)), f"_place long, {UUID} string")
+        found = self.fetch(entity, list(dict.fromkeys(keys)))
+        return places.join(found, UUID).orderBy("_place").select(found.columns)
+
     def find(self, key: str) -> tuple[str, Row] | None:
-        """The entity and record of a key, whichever entity has it."""
-        for entity in self.entities():
-            row = self.fetch(entity, [key]).first()
-            if row:
-                return entity, row
-        return None
+        """The entity and record of a key, whichever entity has it (the first by name): one job for all of them."""
+        held = [self._stored(self.registry.definition(e), [key]).where(F.col(UUID) == key).select(F.lit(e).alias("entity")) for e in self.entities()]
+        owner = reduce(DataFrame.unionByName, held).agg(F.min("entity")).first()[0] if held else None
+        return (owner, self.fetch(owner, [key]).first()) if owner else None
 
     def entities(self) -> list[str]:
-        if not self._exists(f"{self.path}/schema"):
+        if not self.files.exists(f"{self.path}/schema"):
             return []
         return sorted(r[0] for r in self.spark.read.parquet(f"{self.path}/schema").select("entity").distinct().collect())
 
     def cells(self, entity: Entity, aggregate: Aggregate) -> DataFrame:
-        """The rollup of an aggregate, over all batches, with the week by which a series narrows its folders."""
-        folder = f"{self.path}/rollups/{entity.name}"
-        if not self._exists(folder):
-            return self.spark.createDataFrame([], f"{CELLS}, week date")
-        rows = self.spark.read.schema(f"{CELLS}, batch long, aggregate string, week date").parquet(folder)
-        return rows.where(F.col("aggregate") == aggregate.name).select("grp", "hour", "value", "week")
+        """The rollup of an aggregate, over all commits, with the week by which a series narrows its folders."""
+        return self._cells(entity).where(F.col("aggregate") == aggregate.name).select("grp", "hour", "value", "week")
+
+    def _cells(self, entity: Entity) -> DataFrame:
+        root, schema = self._root(entity.name), f"{CELLS}, aggregate string, week date"
+        paths = [f"{c.path}/of=cells" for c in self._commits(entity.name).live() if self.files.exists(f"{c.path}/of=cells")]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", root).parquet(*paths)
 
     # writing
 
-    def write(self, entity: str, rows: DataFrame | list[dict], now: dt.datetime | None = None, batch: int | None = None) -> list[str] | None:
+    def write(self, entity: str, rows: DataFrame | list[dict], now: dt.datetime | None = None, batch: int | None = None, source: str = "", deleting: list[str] | None = None) -> list[str] | None:
         """Checks, upserts and folds in a batch. Rows without a uuid get one; the last of several of one key wins.
 
-        Returns the keys of a list in its order (None for a DataFrame). An empty batch does nothing. batch: a number of the
-        caller's own that makes a repeated write count once.
+        Returns the keys of a list, each once, in the order of their first rows (None for a DataFrame). An empty batch does
+        nothing. batch: a number of the caller's own, within source, that makes a repeated write count once. deleting: keys
+        whose records go in the same commit; sums and counts give back what these had given.
         """
         definition = self.registry.definition(entity)
+        written = now or dt.datetime.now(dt.timezone.utc)
         keys = None
         if isinstance(rows, list):
-            if not rows:
+            if not rows and not deleting:
                 return []
             rows = [{UUID: str(ids.uuid4())} | {k: v for k, v in r.items() if k != UUID or v is not None} for r in rows]
-            keys = [r[UUID] for r in rows]
+            keys = list(dict.fromkeys(r[UUID] for r in rows))
             rows = self._frame(definition, rows)
         elif UUID not in rows.columns:
             rows = rows.withColumn(UUID, F.expr("uuid()"))
         if "_position" not in rows.columns:
             rows = rows.withColumn("_position", F.monotonically_increasing_id())
-        written = F.lit(now or dt.datetime.now(dt.timezone.utc)).cast("timestamp")
-        full = writes.with_defaults(rows, definition).withColumn(VERSION, F.lit(definition.version)).withColumn(WRITTEN, written)
-        full = full.withColumn("bucket", salted(F.col(UUID), self.buckets))
-        path = f"{self.path}/incoming/{ids.uuid4().hex}"
-        full.write.parquet(path)  # once, so keys and positions do not change between the steps below
-        full = self.spark.read.schema(full.schema).parquet(path)
-        writes.raise_first(full, definition)
-        entries = writes.one_per_key(full).drop("_position")
-        touched = [r[0] for r in full.select("bucket").distinct().collect()]  # at most self.buckets
-        if not touched:
+        commits = self._commits(entity)
+        if batch is not None and commits.holds(source, batch):
             return keys
-        stored = self._stored(definition).where(F.col("bucket").isin(touched))
-        batch = self._next_batch(definition) if batch is None else batch
-        if not self._exists(f"{self.path}/rollups/{entity}/batch={batch}"):
-            self._roll_up(definition, entries, stored.join(entries.select(UUID), UUID, "left_semi"), batch)
-        merged = writes.replaced(stored, entries)
-        self._replace_buckets(definition, merged)
+        full = writes.with_defaults(rows, definition)
+        aside = f"{self.path}/incoming/{ids.uuid4().hex}"
+        try:
+            full.write.parquet(aside)  # once, so keys and positions do not change between the steps below
+            full = self.spark.read.schema(full.schema).parquet(aside)
+            writes.raise_first(full, definition)
+            entries = writes.one_per_key(full).drop("_position").withColumn(GONE, F.lit(False))
+            if deleting:
+                gone = self.spark.createDataFrame([(k,) for k in dict.fromkeys(deleting)], f"{UUID} string").join(entries.select(UUID), UUID, "left_anti")
+                entries = entries.unionByName(gone.withColumn(GONE, F.lit(True)), allowMissingColumns=True)
+            entries = entries.withColumns({VERSION: F.lit(definition.version), WRITTEN: F.lit(written).cast("timestamp")})
+            if entries.isEmpty():
+                return keys
+            about = {"rows": full.count(), "batches": {source: [[batch, batch]]} if batch is not None else {}}
+            commits.commit(DELTA, about, lambda folder: self._write_delta(definition, entries, written, folder))
+        finally:
+            self.files.delete(aside)
+        self._settle(definition, commits)
         return keys
 
-    def _roll_up(self, definition: Entity, entries: DataFrame, previous: DataFrame, batch: int) -> None:
-        parts, now = [], F.lit(self._now(entries)).cast("timestamp")
-        for a in definition.aggregates:
-            new = writes.gains(entries, previous, a, definition, now)
-            parts.append(new.withColumn("aggregate", F.lit(a.name)))
-        folder = f"{self.path}/rollups/{definition.name}/batch={batch}"
-        if parts:
-            cells = parts[0]
-            for p in parts[1:]:
-                cells = cells.unionByName(p)
-            cells = cells.withColumn("week", F.to_date(week_of(F.col("hour"))))
-            cells.repartition("aggregate", "week").write.mode("overwrite").partitionBy("aggregate", "week").parquet(folder)
+    def delete(self, entity: str, keys: list[str], now: dt.datetime | None = None) -> None:
+        """Takes records away by key; keys without one do nothing."""
+        self.write(entity, [], now=now, deleting=list(keys))
+
+    def _write_delta(self, definition: Entity, entries: DataFrame, written: dt.datetime, folder: str) -> None:
+        columns = [UUID, GONE, VERSION, WRITTEN, *[f.column for f in definition.active_fields()]]
+        entries.select(*[F.col(f"`{c}`") for c in columns]).write.parquet(f"{folder}/records")
+        entries = self.spark.read.parquet(f"{folder}/records")
+        if definition.aggregates:
+            previous = self._stored(definition).join(entries.select(UUID), UUID, "left_semi")
+            self._write_cells(definition, writes.gains(entries, previous, definition, F.lit(written).cast("timestamp")), f"{folder}/of=cells")
 
     @staticmethod
-    def _now(entries: DataFrame):
-        return entries.select(F.max(WRITTEN)).first()[0]
+    def _write_cells(definition: Entity, cells: DataFrame, folder: str) -> None:
+        """An aggregate's week is one file, or as many as it declares shards: groups are dealt over them by hash."""
+        shards = {a.name: a.shards for a in definition.aggregates if a.shards}
+        parts = F.lit(1)
+        for name, n in shards.items():
+            parts = F.when(F.col("aggregate") == name, n).otherwise(parts)
+        cells = cells.withColumn("week", F.to_date(week_of(F.col("hour")))).withColumn("_shard", F.pmod(F.xxhash64("grp"), parts))
+        cells.repartition("aggregate", "week", "_shard").drop("_shard").write.partitionBy("aggregate", "week").parquet(folder)
 
     def compact(self, entity: str) -> None:
-        """Brings the batches of an entity's rollups together in one."""
+        """One base in place of all commits. What the base before it had replaced is deleted only now, so a reader that began
+        before a compaction ends on its own files. A crash at any point leaves either the old commits or the new base."""
         definition = self.registry.definition(entity)
-        folder = f"{self.path}/rollups/{entity}"
-        if not self._exists(folder):
+        commits = self._commits(entity)
+        live = commits.live()
+        if not live:
             return
-        rows = self.spark.read.schema(f"{CELLS}, batch long, aggregate string, week date").parquet(folder)
+        merged = self._stored(definition)
+        rows = merged.count()
+        buckets = max(self.buckets, -(-rows // ROWS_IN_BUCKET))
         known = {a.name: a for a in definition.aggregates}
-        last = rows.agg(F.max("batch")).first()[0]
-        parts = [rows.where(F.col("aggregate") == n).groupBy("grp", "hour", "aggregate", "week").agg(rollups.combine(a).alias("value")) for n, a in known.items()]
-        if not parts:
-            return
-        cells = parts[0]
-        for p in parts[1:]:
-            cells = cells.unionByName(p)
-        temporary = f"{self.path}/compacting/{ids.uuid4().hex}"
-        cells.write.partitionBy("aggregate", "week").parquet(temporary)
-        for b in [r[0] for r in rows.select("batch").distinct().collect()]:
-            self._delete(f"{folder}/batch={b}")
-        self._rename(temporary, f"{folder}/batch={last}")
+        cells = self._cells(definition).where(F.col("aggregate").isin(list(known) or [""])).groupBy("aggregate", "grp", "hour")
+        kinds = {name: [n for n, a in known.items() if a.storage == name] or [""] for name in ("min", "max")}
+        value = F.when(F.col("aggregate").isin(kinds["min"]), F.min("value")).when(F.col("aggregate").isin(kinds["max"]), F.max("value")).otherwise(F.sum("value"))
+        cells = cells.agg(value.alias("value"))
+        batches: dict[str, list[list[int]]] = {}
+        for c in live:
+            for source, ranges in commits.about(c).get("batches", {}).items():
+                batches[source] = joined([*batches.get(source, []), *ranges])
+
+        def fill(folder: str) -> None:
+            merged.withColumn("bucket", salted(F.col(UUID), buckets)).repartition(max(1, buckets), "bucket").write.partitionBy("bucket").parquet(f"{folder}/records")
+            if known:
+                self._write_cells(definition, cells, f"{folder}/of=cells")
+
+        commits.commit(BASE, {"rows": rows, "buckets": buckets, "batches": batches}, fill)
+        for old in commits.every():
+            if old.number < live[0].number:
+                self.files.delete(old.path)
+
+    def _settle(self, definition: Entity, commits: Commits) -> None:
+        live = commits.live()
+        deltas = [c for c in live if c.kind == DELTA]
+        if len(deltas) >= DELTAS:
+            about = {c: commits.about(c).get("rows", 0) for c in live}
+            if 2 * sum(about[c] for c in deltas) >= sum(about[c] for c in live if c.kind == BASE):
+                self.compact(definition.name)
 
     # files
 
+    def _root(self, entity: str) -> str:
+        return f"{self.path}/data/{entity}"
+
+    def _commits(self, entity: str) -> Commits:
+        return Commits(self.files, self._root(entity))
+
     def _schema(self, definition: Entity) -> T.StructType:
         fields = [T.StructField(UUID, T.StringType()), T.StructField(VERSION, T.IntegerType()), T.StructField(WRITTEN, T.TimestampType())]
-        fields += [T.StructField(f.column, f.type.spark) for f in definition.fields]
-        return T.StructType([*fields, T.StructField("bucket", T.IntegerType())])
-
-    def _stored(self, definition: Entity) -> DataFrame:
-        """Current records under physical names; columns of fields that a file does not know are missing."""
-        folder = f"{self.path}/records/{definition.name}"
-        schema = self._schema(definition)
-        if not self._exists(folder):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(folder)
-
-    def _replace_buckets(self, definition: Entity, rows: DataFrame) -> None:
-        columns = [f.name for f in self._schema(definition)]
-        folder = f"{self.path}/records/{definition.name}"
-        out = rows.select(*[F.col(f"`{c}`") if c in rows.columns else F.lit(None).alias(c) for c in columns])
-        out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
+        return T.StructType(fields + [T.StructField(f.column, f.type.spark) for f in definition.fields])
+
+    def _stored(self, definition: Entity, keys: list[str] | None = None) -> DataFrame:
+        """Current records under physical names; columns of fields that a file does not know are missing. keys: of which
+        buckets alone to read the base."""
+        schema, commits = self._schema(definition), self._commits(definition.name)
+        live = commits.live()
+        deltas = [c for c in live if c.kind == DELTA]
+        base = next((self._base(c, schema, commits, keys) for c in live if c.kind == BASE), None)
+        if not deltas:
+            return self.spark.createDataFrame([], schema) if base is None else base
+        changed = [self._delta(c, schema) for c in deltas]
+        last = changed[0]
+        if len(deltas) > 1:
+            # of the versions of a key that the deltas hold, the last one
+            held = reduce(DataFrame.unionByName, changed)
+            order = Window.partitionBy(UUID).orderBy(F.col("_commit").desc())
+            last = held.withColumn("_turn", F.row_number().over(order)).where("_turn = 1").drop("_turn")
+        here = last.where(~F.col(GONE)).drop(GONE, "_commit")
+        if base is None:
+            return here
+        touched = reduce(DataFrame.unionByName, [c.select(UUID) for c in changed])
+        return base.join(touched, UUID, "left_anti").select(*[F.col(f"`{c}`") for c in schema.names]).unionByName(here)
+
+    def _base(self, commit: Commit, schema: T.StructType, commits: Commits, keys: list[str] | None) -> DataFrame:
+        with_bucket = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
+        rows = self.spark.read.schema(with_bucket).parquet(f"{commit.path}/records")
+        if keys is not None:
+            buckets = commits.about(commit)["buckets"]
+            # literals, so Spark folds the hashes and prunes the folders
+            rows = rows.where(F.col("bucket").isin(*[salted(F.lit(k), buckets) for k in dict.fromkeys(keys)]) if keys else F.lit(False))
+        return rows.drop("bucket")
+
+    def _delta(self, commit: Commit, schema: T.StructType) -> DataFrame:
+        with_gone = T.StructType([*schema.fields, T.StructField(GONE, T.BooleanType())])
+        return self.spark.read.schema(with_gone).parquet(f"{commit.path}/records").withColumn("_commit", F.lit(commit.number))
 
     def _frame(self, definition: Entity, rows: list[dict]) -> DataFrame:
-        known = {f.name: f.type.spark for f in definition.active_fields()}
-        names = list(dict.fromkeys(k for r in rows for k in r))
+        known = {f.name: f.type for f in definition.active_fields()}
+        names = list(dict.fromkeys([UUID, *(k for r in rows for k in r)]))
         for n in names:
             if n != UUID and n not in known:
                 raise SchemaError("unknown_field", entity=definition.name, field=n)
-        schema = T.StructType([T.StructField(n, known.get(n, T.StringType())) for n in names] + [T.StructField("_position", T.LongType())])
+        for r in rows:
+            for n, v in r.items():
+                if n != UUID and v is not None and not takes(known[n], v):
+                    raise SchemaError("type_mismatch", entity=definition.name, field=n)
+        schema = T.StructType([T.StructField(n, known[n].spark if n in known else T.StringType()) for n in names] + [T.StructField("_position", T.LongType())])
         data = [tuple(self._value(r.get(n), known.get(n)) for n in names) + (i,) for i, r in enumerate(rows)]
         return self.spark.createDataFrame(data, schema)
 
     @staticmethod
     def _value(v, kind):
-        if isinstance(v, bool):
-            v = int(v)
-        return float(v) if isinstance(kind, T.DoubleType) and isinstance(v, int) else v
-
-    def _next_batch(self, definition: Entity) -> int:
-        folder = f"{self.path}/rollups/{definition.name}"
-        if not self._exists(folder):
-            return 1
-        path, fs = self._fs(folder)
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        return 1 + max([int(n.removeprefix("batch=")) for n in names if n.startswith("batch=")], default=0)
-
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _exists(self, path: str) -> bool:
-        p, fs = self._fs(path)
-        return fs.exists(p)
-
-    def _delete(self, path: str) -> None:
-        p, fs = self._fs(path)
-        fs.delete(p, True)
-
-    def _rename(self, old: str, new: str) -> None:
-        p, fs = self._fs(old)
-        fs.rename(p, self.spark._jvm.org.apache.hadoop.fs.Path(new))
+        """As Spark wants it; a whole number beyond what a column holds is refused by Spark itself."""
+        if v is None or kind is None:
+            return v
+        if kind.is_list:
+            return [Store._value(x, kind.element) for x in v]
+        if kind.label == "timestamp" and not isinstance(v, dt.datetime):
+            return dt.datetime(v.year, v.month, v.day, tzinfo=dt.timezone.utc)
+        return float(v) if kind.label == "double" else int(v) if kind.label == "int" else v

@@ -23,12 +23,18 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     executor costs no recomputation.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tarn-{name}-{uuid.uuid4().hex}"
+    path = scratch_dir(spark, name)
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder, for files of other forms; drop_scratch() deletes it too."""
+    path = f"{shared_dir(spark)}/tarn-{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def drop_scratch(spark: SparkSession) -> int:
     """Deletes the scratch tables written so far; results that have not been read yet need them. Returns how many."""
     n = len(_written)

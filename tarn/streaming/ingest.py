@@ -12,13 +12,14 @@ from tarn.sources.store import Store
 def ingest(stream: DataFrame, store: Store, entity: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Upserts every micro-batch and folds it into the rollups.
 
-    The epoch is the batch's number, so an epoch that runs again after a failure counts once. Late records are accepted
-    however late they are: their cell is addressed by their own date.
+    The epoch is the batch's number within the stream, which its checkpoint names; so an epoch that runs again after a
+    failure counts once, and direct writes and other streams have numbers of their own. Late records are accepted however
+    late they are: their cell is addressed by their own date.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
         if not batch.isEmpty():
-            store.write(entity, batch, batch=epoch + 1)
+            store.write(entity, batch, batch=epoch, source=f"stream:{checkpoint}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -75,6 +75,33 @@ def kind(value) -> str:
     raise TypeError(f"{value!r} is no value of a record")
 
 
+#: The kind of literal that a value of each field type is.
+_VALUE = {"text": "string", "reference": "string"}
+#: What Spark's types hold, by the name of the type; a narrower whole number or a float loses nothing in a wider field.
+_STORED = {
+    "int": ("tinyint", "smallint", "int", "bigint", "boolean"), "double": ("float", "double", "tinyint", "smallint", "int"),
+    "string": ("string",), "timestamp": ("timestamp", "timestamp_ntz", "date"), "bytes": ("binary",),
+}
+
+
+def takes(field: FieldType, value) -> bool:
+    """Whether a Python value may be written in a field. Whole numbers are doubles too, true and false are 1 and 0."""
+    if field.is_list:
+        return kind(value) == "list" and all(v is not None and kind(v) != "list" and takes(field.element, v) for v in value)
+    got, want = kind(value), _VALUE.get(field.label, field.label)
+    return got == want or (want, got) == ("double", "int")
+
+
+def takes_column(field: FieldType, stored: T.DataType) -> bool:
+    """Whether a column of a Spark type may be written in a field without losing anything; one of nulls always may."""
+    if isinstance(stored, T.NullType):
+        return True
+    if field.is_list:
+        return isinstance(stored, T.ArrayType) and takes_column(field.element, stored.elementType)
+    name = "string" if isinstance(stored, (T.VarcharType, T.CharType)) else stored.typeName() if not isinstance(stored, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)) else stored.simpleString()
+    return name in _STORED[_VALUE.get(field.label, field.label)]
+
+
 def fits(field: FieldType, value) -> bool:
     """Whether a scalar literal can be compared with a field (or a list field's element)."""
     base = (field.element if field.is_list else field).label

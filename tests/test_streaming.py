@@ -29,3 +29,21 @@ def test_hourly_stream_keeps_late_rows(spark, tmp_path):
     run = out.writeStream.outputMode("update").format("memory").queryName("hourly").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     run.awaitTermination()
     assert {(r["grp"], r["n"], r["total"]) for r in spark.table("hourly").collect()} == {("a", 1, 1.0), ("a", 1, 2.0), ("", 1, 3.0)}
+
+
+def test_streams_beside_direct_writes(store, spark, tmp_path):
+    store.schema("event").field("value", "double").sum("value").count().create()
+    schema = "uuid string, value double"
+
+    def step(name, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        ingest(spark.readStream.schema(schema).parquet(str(tmp_path / name)), store, "event", str(tmp_path / f"{name}-checkpoint")).awaitTermination()
+
+    step("one", [("a", 1.0)])
+    store.write("event", [{"uuid": "b", "value": 2.0}])
+    step("two", [("c", 4.0)])
+    step("one", [("d", 8.0)])
+    store.write("event", [{"uuid": "a", "value": 16.0}], batch=1)
+    step("two", [("e", 32.0)])
+    assert (store.query("event").count(), store.query("event").sum("value")) == (5, 2 + 4 + 8 + 16 + 32)
+    assert store.query("event").frame().count() == 5
