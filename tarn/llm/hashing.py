@@ -38,19 +38,18 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words [^\\x20\\x09-\\x0D]+ after lower-casing A-Z, and where each text's words start (n + 1 places).
-
-    A null text has no words.
+def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' bytes, where the words [^\\x20\\x09-\\x0D]+ start and stop in them, and where each text's words start (n + 1
+    places). A null text has no words.
     """
     texts = texts.cast(pa.large_string())
     n = len(texts)
     lengths = np.asarray(pc.fill_null(pc.binary_length(texts), 0), "int64")
     ends = np.cumsum(lengths)
     raw = b"".join(x.as_buffer().to_pybytes() for x in texts if x.is_valid) if texts.null_count else _bytes(texts)
-    data = _LOWER[np.frombuffer(raw, "uint8")]
+    data = np.frombuffer(raw, "uint8")
     if not len(data):
-        return np.zeros(0, "uint64"), np.zeros(n + 1, "int64")
+        return data, np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(n + 1, "int64")
     inside = ~_BLANK[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[ends] = edge[0] = True
@@ -59,11 +58,23 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     stop = inside.copy()
     stop[:-1] &= ~inside[1:] | edge[1:-1]
     starts, stops = np.flatnonzero(start), np.flatnonzero(stop) + 1
+    return data, starts, stops, np.searchsorted(starts, np.append(0, ends))
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words after lower-casing A-Z, and where each text's words start (n + 1 places)."""
+    data, starts, stops, places = word_spans(texts)
+    return hashes_of(data, starts, stops), places
+
+
+def hashes_of(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    if not len(data):
+        return np.zeros(0, "uint64")
+    data = _LOWER[data]
     up, down = _power(len(data))
     sums = np.zeros(len(data) + 1, "uint64")
     np.cumsum((data.astype("uint64") + _U(1)) * up, out=sums[1:])
-    hashes = mix((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype("uint64"))
-    return hashes, np.searchsorted(starts, np.append(0, ends))
+    return mix((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype("uint64"))
 
 
 def _bytes(texts: pa.Array) -> memoryview:

@@ -56,7 +56,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), budget=quality.BUDGET)
 
 
 def op10_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
