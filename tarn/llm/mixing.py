@@ -91,7 +91,10 @@ class Mix:
         rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *[F.coalesce(c.cast("string"), F.lit(NONE)).alias(n) for n, c in levels.items()], count_words(F.col(text)).alias("n_tokens"))
         self.rows = scratch(rows, "mix-rows")
         leaves = scratch(self.rows.groupBy(*self.names).agg(F.sum("n_tokens").alias("tokens")), "mix-leaves")
-        total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+        total, n = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
+        # few leaves are shared out in one task, without a shuffle for each of the tree's windows
+        self.few = n <= FEW
+        leaves = leaves.coalesce(1) if self.few else leaves
         shared = budgets(leaves, self.names, weights, int(total * share), epochs)
         shared = shared.withColumn("whole", F.when(F.col("tokens") > 0, F.expr("alloc div tokens")).otherwise(F.col("live").cast("long")))
         shared = shared.withColumn("part", F.when(F.col("tokens") > 0, F.col("alloc") % F.col("tokens")).otherwise(0))
@@ -115,8 +118,6 @@ class Mix:
 
     def _join(self, rows: DataFrame, small: DataFrame, more: list[str] = ()) -> DataFrame:
         """small has a row for each leaf: broadcast where these are few, else left to the planner."""
-        if not hasattr(self, "few"):
-            self.few = small.count() <= FEW
         return rows.join(F.broadcast(small) if self.few else small, [*self.names, *more])
 
     def _copies(self) -> Column:
@@ -132,8 +133,7 @@ class Mix:
 
     def apply(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """The documents with all their columns, each as often as chosen."""
-        own = docs.columns
-        held = docs.select(F.struct(*[docs[c] for c in own]).alias("_row"), docs[self.doc_id].cast("long").alias("_id"), count_words(docs[text]).alias("n_tokens"), *[F.coalesce(c.cast("string"), F.lit(NONE)).alias(n) for n, c in self.levels.items()])
+        held = docs.select(F.struct("*").alias("_row"), F.col(f"`{self.doc_id}`").cast("long").alias("_id"), count_words(F.col(f"`{text}`")).alias("n_tokens"), *[F.coalesce(c.cast("string"), F.lit(NONE)).alias(n) for n, c in self.levels.items()])
         rows = self._join(held, self.cuts).withColumn("hash", self._hash(F.col("_id"), F.col("n_tokens")))
         rows = rows.withColumn("_copies", self._copies()).where("_copies > 0")
         rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))

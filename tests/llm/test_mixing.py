@@ -90,6 +90,12 @@ def test_odd_documents(odd):
     assert taken.columns == odd.columns and taken.count() == odd.count()
 
 
+def test_columns_with_dots_in_their_names(docs):
+    frame = docs(["a b", "c d e", "f"]).withColumn("x.y", F.lit(1)).withColumn("a`b", F.lit(2))
+    taken = Mix(frame, mixing.document_levels(), {}, 1.0, 1, 3).apply(frame)
+    assert taken.columns == frame.columns and taken.count() == 3
+
+
 def test_empty(docs):
     assert mix_documents(docs([])).collect() == []
     assert Mix(docs([]), mixing.document_levels(), {}, 1.0, 1, 3).apply(docs([])).collect() == []
