@@ -266,5 +266,5 @@ def one_each(docs: DataFrame, percent: int = 75, doc_id: str = "doc_id", text: s
     found = near_duplicates(docs, percent, doc_id, text).where("kept")
     grouped = found.where("component is not null").groupBy("component").agg(F.min("row_key").alias("_key")).select("_key")
     alone = found.where("component is null").select(F.col("row_key").alias("_key")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), row_key(doc_id, text).alias("_key"))
+    rows = docs.select(F.struct("*").alias("_row"), row_key(doc_id, text).alias("_key"))
     return rows.join(grouped.union(alone), "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")

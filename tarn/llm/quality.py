@@ -186,7 +186,7 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 1_024, few: int
 
 def _scored(docs: DataFrame, labels: DataFrame, seed: int, budget: float | None, doc_id: str, text: str, whole: bool) -> tuple[DataFrame, float]:
     """doc_id, log_weight, key and (whole) the row itself of each document, and the least key that stays."""
-    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if whole else []
+    row = [F.struct("*").alias("_row")] if whole else []
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *row)
     known = labelled(labels)
     weigh = weigher(ratio(rows, known))
