@@ -6,6 +6,8 @@ stage's docs. All but the last keep the columns of documents.
 
 from __future__ import annotations
 
+import os
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +16,8 @@ from tarn.sources import read_table, scratch
 
 #: The mixture's budget, as a share of what is left, and its sources' weights. No document is repeated.
 SHARE, EPOCHS = 0.9, 1
+#: The variable of the driver's environment that holds the secret of the pseudonyms; without it, the demonstration's.
+SECRET = "TARN_PII_SECRET"
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +32,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by pseudonyms of its format."""
-    return pii.pseudonymize(docs, registry.PII_KEY)
+    return pii.pseudonymize(docs, os.environ.get(SECRET, registry.PII_KEY))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
