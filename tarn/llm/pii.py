@@ -458,7 +458,7 @@ def pseudonymize(docs: DataFrame, secret: str | bytes, text: str = "text", count
     gaps = F.split(body, PATTERN, -1)
     joined = F.array_join(F.flatten(F.zip_with(gaps, F.array_append(F.col("_new"), F.lit("")), lambda g, m: F.array(g, m))), "")
     changed = F.when(F.col("_new").isNull(), body).otherwise(joined)
-    out = [changed.alias(text) if c == text else F.col("_row").getField(c) for c in docs.columns]
+    out = [changed.alias(text) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns]
     if count:
         differs = F.filter(F.zip_with(found, F.col("_new"), lambda a, b: a != b), lambda x: x)
         out.append(F.when(F.col("_new").isNull(), 0).otherwise(F.size(differs)).cast("long").alias(count))
