@@ -6,17 +6,20 @@ least position. Bands of consecutive coordinates make the buckets; links are con
 
 No bucket is expanded into its pairs. Equal sets are one node from the start. Then each bucket's nodes are compared with
 the bucket's least node, and linked nodes become components. What is left are pairs of different components within a
-bucket; these are compared in blocks of bounded size, by sets of 32-bit hashes, which give an upper bound of the
-similarity. First each node proposes its nearest one of another component in its block, which joins most of a group;
-then all pairs are proposed that still cross components and may reach the threshold. Proposals are confirmed on full
-sets. So a large group of near copies moves its nodes and their links between components, not its pairs, and no link
-between two components is lost.
+bucket, so one of them is outside the bucket's largest component. These are compared in blocks of bounded size, and of
+set sizes that allow a link, by sets of 32-bit hashes, which give an upper bound of the similarity. First each node
+proposes its nearest one of another component in its block, which joins most of a group; then the nodes outside the
+largest component meet all blocks of the bucket, and all pairs are proposed that still cross components and may reach the
+threshold. Proposals are confirmed on full sets. So a large group of near copies moves its nodes and their links between
+components, not its pairs, and no link between two components is lost. A bucket may hold any share of the nodes: those of
+many nodes are known by broadcast and not dealt out by bucket.
 
 With 32 bands of 4 rows a pair at similarity 0.75 shares no bucket with probability 5e-6, and one at 0.85 with 5e-11.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.components import components
+from tarn.llm.components import components, joined
 from tarn.llm.hashing import chunks, distinct, mix, shingle_hashes, word_hashes
+from tarn.llm.skew import hot_above, join_spread
 from tarn.sources import scratch
 
 ROWS, BANDS = 4, 32
@@ -71,26 +75,30 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return key.view("int64")
 
 
+SKETCH = "doc_id long, r1 long, r2 long, n_shingles long, h1 long, h2 long, keys array<long>"
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch, 1):
             values, offsets = distinct(*shingle_hashes(*word_hashes(part.column(1))))
             sizes = np.diff(offsets)
             full = np.flatnonzero(sizes)
-            node, keys = np.zeros(len(sizes), "int64"), np.zeros((0, BANDS), "int64")
+            keys, marks = np.zeros((0, BANDS), "int64"), np.zeros((2, len(sizes)), "int64")
             if len(full):
                 starts = offsets[:-1][full]
-                sums = np.add.reduceat(mix(values), starts)
-                node[full] = mix(sums * np.uint64(31) + sizes[full].astype("uint64")).view("int64")
+                for half in range(2):
+                    sums = np.add.reduceat(mix(values + np.uint64(half * 0x51_7C_C1_B7_27_22_0A_95)), starts)
+                    marks[half, full] = mix(sums * np.uint64(31) + sizes[full].astype("uint64")).view("int64")
                 keys = bands(signatures(values, np.append(starts, len(values))))
             none = sizes == 0
             counts = np.append(0, np.cumsum(np.where(none, 0, BANDS))).astype("int32")
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(node, pa.int64(), mask=none),
+                    part.column(0), part.column(2), part.column(3), pa.array(sizes, pa.int64()), *(pa.array(m, pa.int64(), mask=none) for m in marks),
                     pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(keys.ravel(), pa.int64())),
                 ],
-                names=["doc_id", "row_key", "n_shingles", "node", "keys"],
+                names=SKETCH.replace(" long", "").replace(" array<long>", "").split(", "),
             )
 
 
@@ -139,15 +147,15 @@ def common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.nd
 def _compare(percent: int, nearest: bool):
     """Pairs of a bucket's blocks that may be links and would join two components: rows sorted by bucket and blocks.
 
-    nearest: of each node's pairs only the most alike one.
+    nearest: of each node's pairs only the most alike one. side: 0 for rows of the first block, 1 of the second, 2 of both.
     """
 
     def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(rows).combine_chunks()
-        node, component, size, block = (table.column(c).to_numpy() for c in ("node", "component", "n_shingles", "block"))
-        one, two, pivot, band = (table.column(c)[0].as_py() for c in ("one", "two", "pivot", "band"))
+        node, component, size, side = (table.column(c).to_numpy() for c in ("node", "component", "n_shingles", "side"))
+        pivot, band = (table.column(c)[0].as_py() for c in ("pivot", "band"))
         found: set[tuple[int, int]] = set()
-        left, right = (np.flatnonzero((block == k) & (node != pivot)) for k in (one, two))
+        left, right = (np.flatnonzero((side != other) & (node != pivot)) for other in (1, 0))
         if len(left) and len(right) and len(np.unique(component)) > 1:
             keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(node), BANDS)
             sets = [np.frombuffer(x, "uint32") for x in table.column("short").to_pylist()]
@@ -187,26 +195,38 @@ def _compare(percent: int, nearest: bool):
     return run
 
 
-def _across(members: DataFrame, groups: DataFrame, about: DataFrame, percent: int, nearest: bool) -> DataFrame:
+def _across(members: DataFrame, groups: DataFrame, about: DataFrame, percent: int, nearest: bool, limit: int) -> DataFrame:
     """Pairs (a, b) of one bucket but two components that may be links, other than those with the bucket's pivot.
 
-    nearest: within blocks only, and the most alike for each node; else all, between all of a bucket's blocks.
+    nearest: within blocks only, and the most alike for each node; else all.
     """
-    grouped = members.where("members > 2").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    grouped = scratch(grouped, "grouped")
-    mixed = grouped.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    rest = grouped.join(mixed.where("low != high").select("key"), "key").join(about, "node")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("node", "key"), blocks).cast("int"))
-    rest = rest.withColumn("with", F.col("block") if nearest else F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rest = rest.select("key", "band", "pivot", "node", "component", "n_shingles", "keys", "short", "block", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"))
+    # set sizes of linked nodes are of one class or of two that are next to each other; a little wider, for rounding
+    width = 1.001 * math.log(100 / min(percent, 99))
+    grouped = members.where("n > 2").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    grouped = scratch(grouped.withColumn("class", F.floor(F.log("n_shingles") / width).cast("int")), "grouped")
+    kinds = grouped.groupBy("key", "component").agg(F.count("*").alias("own"), F.max("n").alias("n"), F.collect_set("class").alias("classes"))
+    mixed = kinds.groupBy("key").agg(F.max(F.struct("own", "component")).alias("top"), F.sum("own").alias("all"), F.count("*").alias("kinds"), F.max("n").alias("n"), F.array_distinct(F.flatten(F.collect_set("classes"))).alias("classes"))
+    mixed = mixed.where("kinds > 1").select("key", "n", "classes", F.col("top.component").alias("main"), (F.col("all") - F.col("top.own")).alias("minor"))
+    rest = join_spread(grouped, mixed, ["key"], "n", limit, own=True).join(about, "node")
+    block = lambda classes, number: classes.cast("long") * 1_000_000 + number
+    dealt = lambda parts: F.pmod(F.xxhash64("node", "key"), parts).cast("long")
+    blocks, minor = F.ceil(F.col("n") / BLOCK), F.ceil(F.col("minor") / BLOCK)
+    out = ["key", "band", "pivot", "node", "component", "n_shingles", "keys", "short"]
+    if nearest:
+        rest = rest.select(*out, block(F.col("class"), dealt(blocks)).alias("one"), F.lit(2).alias("side")).withColumn("two", F.col("one"))
+    else:
+        near = F.array_intersect(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.col("class") + d), F.col("classes"))
+        every = lambda parts: F.flatten(F.transform(near, lambda c: F.transform(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1), lambda k: block(c, k))))
+        first = rest.where("component != main").select(*out, block(F.col("class"), dealt(minor)).alias("one"), F.lit(0).alias("side"), F.explode(every(blocks)).alias("two"))
+        rest = first.unionByName(rest.select(*out, block(F.col("class"), dealt(blocks)).alias("two"), F.lit(1).alias("side"), F.explode(every(minor)).alias("one")))
     rest = rest.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
     return scratch(rest.mapInArrow(_compare(percent, nearest), "a long, b long").distinct(), "more-pairs")
 
 
-def row_key(doc_id: str, text: str) -> Column:
-    """A row's identity: a 64-bit hash of its doc_id and text, nulls included."""
-    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text), F.col(doc_id).isNull(), F.col(text).isNull())
+def row_key(doc_id: str, text: str) -> list[Column]:
+    """A row's identity, r1 and r2: 128 bits of hash of its doc_id and text, nulls included."""
+    row = (F.col(doc_id).cast("long"), F.col(text), F.col(doc_id).isNull(), F.col(text).isNull())
+    return [F.xxhash64(F.lit(half), *row).alias(f"r{half}") for half in (1, 2)]
 
 
 def _verify(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -219,43 +239,44 @@ def near_duplicates(docs: DataFrame, percent: int = 75, doc_id: str = "doc_id",
     """Groups of documents whose sets of 5-word shingles are alike, directly or through others.
 
     Links hold where 100 * intersection >= percent * union. Returns one row per document: doc_id, n_shingles,
-    component_id (the smallest doc_id of its group), kept (doc_id is that one), and row_key and component for joining the
-    result to its rows. Defined cases: a text of fewer than five
-    words has its whole sequence as one shingle; a null, empty or blank text has none, is linked with nothing and kept;
-    repeated rows are in one group and each keeps its row; a null doc_id takes part, and is kept only in a group without
-    any other; other columns are ignored; an empty table gives no rows. Nodes are told apart by a 64-bit hash of the set.
+    component_id (the smallest doc_id of its group), kept (doc_id is that one), and r1, r2 and component for joining the
+    result to its rows. Defined cases: a text of fewer than five words has its whole sequence as one shingle; a null, empty
+    or blank text has none, is linked with nothing and kept; repeated rows are in one group and each keeps its row; a null
+    doc_id takes part, and is kept only in a group without any other; other columns are ignored; an empty table gives no
+    rows. Equal sets are told by 128 bits of hash, and then have a number of their own.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(doc_id, text).alias("row_key"))
-    sketches = scratch(rows.mapInArrow(_sketch, "doc_id long, row_key long, n_shingles long, node long, keys array<long>"), "sketches")
-    nodes = scratch(sketches.where("node is not null").drop("doc_id").dropDuplicates(["node"]), "nodes")
-    keys = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-    buckets = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).where("members > 1")
-    members = scratch(keys.join(buckets, "key"), "members")
-    about = nodes.select("node", "n_shingles")
-    first = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    other = about.select(F.col("node").alias("a"), F.col("n_shingles").alias("of_a"))
-    first = first.join(about.select(F.col("node").alias("b"), F.col("n_shingles").alias("of_b")), "b").join(other, "a")
-    first = scratch(first.where(100 * F.least("of_a", "of_b") >= percent * F.greatest("of_a", "of_b")).select("a", "b"), "first-pairs")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *row_key(doc_id, text))
+    sketches = scratch(rows.mapInArrow(_sketch, SKETCH), "sketches")
+    total = sketches.count()
+    worded = sketches.where("h1 is not null")
+    nodes = worded.groupBy("h1", "h2").agg(F.min(F.struct("r1", "r2")).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.count("*").alias("copies"))
+    nodes = scratch(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    keys = nodes.select("node", "n_shingles", F.posexplode("keys").alias("band", "key"))
+    buckets = keys.groupBy("key").agg(F.min(F.struct("node", "n_shingles")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    buckets = scratch(buckets.select("key", "n", F.col("first.node").alias("pivot"), F.col("first.n_shingles").alias("of_pivot")), "buckets")
+    limit = hot_above(BANDS * nodes.count())
+    members = scratch(join_spread(keys, buckets, ["key"], "n", limit), "members")
+    fits = 100 * F.least("of_pivot", "n_shingles") >= percent * F.greatest("of_pivot", "n_shingles")
+    first = members.where(F.col("node") != F.col("pivot")).where(fits).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     # a node's text is that of one of its rows, so a group of copies brings one text
-    wanted = members.select("node").distinct().join(nodes.select("node", "row_key"), "node")
-    sets = wanted.join(rows.select("row_key", "text"), "row_key").dropDuplicates(["node"]).select("node", "text")
+    wanted = members.select("node").distinct().join(nodes.select("node", "row.*"), "node")
+    sets = wanted.join(rows.select("r1", "r2", "text"), ["r1", "r2"]).dropDuplicates(["node"]).select("node", "text")
     sets = scratch(sets.mapInArrow(_sets, "node long, shingles binary, short binary"), "sets")
-    about = nodes.select("node", "n_shingles", "keys").join(sets.select("node", "short"), "node")
-    links = scratch(_verify(first, sets, percent), "first-links")
-    groups = components(links)
+    about = nodes.select("node", "keys").join(sets.select("node", "short"), "node")
+    groups = components(scratch(_verify(first, sets, percent), "first-links"))
 
     for nearest in (True, False):
-        more = scratch(_verify(_across(members, groups, about, percent, nearest), sets, percent), "more-links")
+        more = scratch(_verify(_across(members, groups, about, percent, nearest, limit), sets, percent), "more-links")
         if not more.isEmpty():
-            links = links.union(more)
-            groups = components(links)
+            groups = joined(groups, more)
 
-    placed = sketches.select("doc_id", "row_key", "n_shingles", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = scratch(placed, "placed")
-    least = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = placed.join(least, "component", "left")
-    chosen = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", chosen.alias("component_id"), F.col("doc_id").eqNullSafe(chosen).alias("kept"), "row_key", "component")
+    placed = nodes.select("h1", "h2", "copies", "node").join(groups, "node", "left").select("h1", "h2", "copies", F.coalesce("component", "node").alias("component"))
+    placed = scratch(join_spread(worded.drop("keys"), placed, ["h1", "h2"], "copies", hot_above(total)).drop("copies", "h1", "h2"), "placed")
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    out = join_spread(placed, least, ["component"], "n", hot_above(total)).drop("n")
+    alone = sketches.where("h1 is null").select(F.lit(None).cast("long").alias("component"), "doc_id", "r1", "r2", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = out.unionByName(alone)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "r1", "r2", "component")
 
 
 def one_each(docs: DataFrame, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -264,7 +285,9 @@ def one_each(docs: DataFrame, percent: int = 75, doc_id: str = "doc_id", text: s
     Rows with the same doc_id and text count once, also those without words; a group without any doc_id keeps one row.
     """
     found = near_duplicates(docs, percent, doc_id, text).where("kept")
-    grouped = found.where("component is not null").groupBy("component").agg(F.min("row_key").alias("_key")).select("_key")
-    alone = found.where("component is null").select(F.col("row_key").alias("_key")).distinct()
-    rows = docs.select(F.struct("*").alias("_row"), row_key(doc_id, text).alias("_key"))
-    return rows.join(grouped.union(alone), "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")
+    grouped = found.where("component is not null").groupBy("component").agg(F.min(F.struct("r1", "r2")).alias("row")).select("row.*")
+    alone = found.where("component is null").select("r1", "r2").distinct()
+    key = [c.alias(f"_{k}") for k, c in zip(("r1", "r2"), row_key(doc_id, text), strict=True)]
+    rows = docs.select(F.struct("*").alias("_row"), *key)
+    kept = grouped.union(alone).select(F.col("r1").alias("_r1"), F.col("r2").alias("_r2"))
+    return rows.join(kept, ["_r1", "_r2"], "left_semi").dropDuplicates(["_r1", "_r2"]).select("_row.*")
