@@ -21,7 +21,7 @@ def test_schedule_is_that_of_the_heap():
         shards = rng.randint(1, 7)
         sizes = [rng.choice([16, 17, 20, 33, 500, rng.randint(16, 90)]) for _ in range(rng.randint(0, 400))]
         got = {}
-        for size, starts, owners in schedule([(s, sizes.count(s)) for s in set(sizes)], shards):
+        for size, starts, owners in schedule([(s, sizes.count(s)) for s in sorted(set(sizes), reverse=True)], shards):
             for a, b, s in zip(starts, [*starts[1:], sizes.count(size)], owners, strict=True):
                 got[size, s] = b - a
         assert got == by_the_book(sizes, shards)
@@ -58,3 +58,20 @@ def test_balance_and_hot_group(docs):
 
 def test_empty(docs):
     assert shard_documents(docs([]), 5).collect() == []
+
+
+def test_the_frame_is_that_of_the_heap(docs, monkeypatch):
+    """Groups of one size are interchangeable; how many of each size a shard has is the heap's."""
+    monkeypatch.setattr("tarn.llm.sharding.PLANNED", 3)
+    monkeypatch.setattr("tarn.llm.skew.FLOOR", 5)
+    rng = random.Random(6)
+    texts = ["same" for _ in range(120)] + [rng.choice("abcd") * rng.randint(1, 40) for _ in range(300)] + [f"{i:04}" for i in range(150)] + [None, "", "é" * 30]
+    rows = shard_documents(docs(texts), 7).collect()
+    sizes = {}
+    for t in texts:
+        sizes[t or ""] = sizes.get(t or "", 0) + len((t or "").encode()) + 16
+    got = {}
+    for key in {(r["group_key"], r["group_size"], r["shard"]) for r in rows}:
+        got[key[1:]] = got.get(key[1:], 0) + 1
+    assert got == by_the_book(list(sizes.values()), 7)
+    check(rows, texts, 7)
