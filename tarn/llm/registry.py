@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import ann, chat, hamming, minhash, mixing, pii, piece, quality, sharding, tokenfiles
-from tarn.session import shared_dir
-from tarn.sources import read_table
+from tarn.sources import read_table, scratch_dir
 
 
 def op1_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +48,7 @@ def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = scratch_dir(spark, "tokens")
     tokenfiles.write_tokens(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return tokenfiles.read_tokens(spark, path)
 

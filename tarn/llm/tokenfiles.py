@@ -44,6 +44,8 @@ LETTERS = r"a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 PIECE = re.compile(rf" ?[{LETTERS}]+(?=[!-&(-/:-@\[-`{{-~]| \S|\Z)|.+?(?= \S|\Z)", re.S)
 MEMORY, LONGEST = 800_000, 200
 SEGMENT_IDS, SEGMENT_DOCS = 500_000, 2_000
+#: Bytes of text that a task writes, on average.
+TASK_BYTES = 64 << 20
 
 
 class TokenEncoder:
@@ -210,7 +212,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id
         if held:
             yield flush()
 
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # as many ranges as the text needs; rows of one doc_id may lie in several, in the order of their hashes
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    docs = docs.withColumn("hash", F.xxhash64("text"))
+    ordered = docs.repartitionByRange(ranges, "doc_id", "hash").sortWithinPartitions("doc_id", "hash").drop("hash")
     ordered.mapInArrow(run, "part int, seq long, tokens long, segment binary").write.parquet(f"{path}/segments")
 
 
