@@ -5,23 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tarn.llm.skew import hot_above, join_spread
 from tarn.sources import scratch
 
+FEW = 100_000
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each node of an edge reaches. Nodes without an edge are left out.
 
     Rounds of large-star and small-star: every node links its larger neighbours, then its smaller ones, to the smallest
-    one it knows, until nothing changes. The minimum of a node's neighbours is a partial aggregate and hubs get it by
-    broadcast, so a hub of any degree is in no single task. Whether a round has changed anything is seen from the number
+    one it knows, until nothing changes. The minimum of a node's neighbours is a partial aggregate, so a hub of any degree
+    costs a task one row for each of its input tasks. Whether a round has changed anything is seen from the number
     of edges and the exclusive or of their hashes, both counted while they are written.
     """
     edges, seen = _written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct())
     while seen["n"]:
         before = seen
-        larger = _starred(edges.union(edges.select("v", "u")), 2 * seen["n"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        smaller = _starred(larger, seen["n"])
+        both = edges.union(edges.select("v", "u"))
+        if seen["n"] <= FEW:
+            both = both.coalesce(1)  # in one task, without a shuffle
+        larger = _starred(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        smaller = _starred(larger)
         # a node and its smaller neighbours, all to the smallest; of a neighbour that is the smallest nothing is left
         links = smaller.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         edges, seen = _written(links.where("u != v").distinct())
@@ -37,10 +41,9 @@ def _written(edges: DataFrame) -> tuple[DataFrame, dict]:
     return scratch(counted, "links"), seen.get
 
 
-def _starred(edges: DataFrame, rows: int) -> DataFrame:
+def _starred(edges: DataFrame) -> DataFrame:
     """Edges with m, the smallest of u and its neighbours."""
-    least = edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
-    return join_spread(edges, least, ["u"], "n", hot_above(rows)).drop("n")
+    return edges.join(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "u")
 
 
 def joined(groups: DataFrame, links: DataFrame) -> DataFrame:
