@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarn.llm.skew import least_hashed
 from tarn.llm.vectors import best, best_entries, smallest_ids, usable
 from tarn.sources import scratch
 
@@ -264,7 +265,7 @@ def _searched(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
     entries = scratch(rows.groupBy("k1", "k2").agg(F.min("vec_id").alias("first"), F.count_distinct("vec_id").alias("n"), F.first("v").alias("v")), "vector-entries")
     unique = rows.groupBy("vec_id").agg(F.count_distinct("k1", "k2").alias("n")).where("n > 1").isEmpty()
     count = entries.count()
-    sample = entries.orderBy("k1", "k2").limit(max(SAMPLE, PER_LIST * lists_for(count))).select("v").toArrow().column("v").combine_chunks()
+    sample = least_hashed(entries, ["k1", "k2"], max(SAMPLE, PER_LIST * lists_for(count)), count).select("v").toArrow().column("v").combine_chunks()
     model = train(unit(_matrix(sample)), count, k)
     index = scratch(entries.select("k1", "k2", "first", "n", "v").mapInArrow(_index(model), "k1 long, k2 long, first long, n long, v array<double>, list int, code binary"), "vector-index")
     counts = {r["list"]: r["count"] for r in index.groupBy("list").count().collect()}  # a row for each coarse centroid

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.hashing import chunks, hashes_of, mix, word_spans
+from tarn.llm.skew import least_hashed
 from tarn.sources import scratch
 
 ROWS, BUCKETS = 3, 1 << 16
@@ -98,7 +99,8 @@ def labelled(labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", qu
     """At most sample rows (label_id, good, fits): one for each labelled doc_id, those of smallest hash."""
     rows = labels.where(F.col(doc_id).isNotNull() & F.col(quality).isNotNull())
     rows = rows.groupBy(F.col(doc_id).cast("long").alias("label_id")).agg((F.min(quality) > 0).alias("good"))
-    return rows.orderBy(F.xxhash64("label_id"), "label_id").limit(sample).withColumn("fits", F.pmod(F.xxhash64("label_id", F.lit(SEED)), F.lit(2)) == 0)
+    rows = least_hashed(rows.withColumn("hash", F.xxhash64("label_id")), ["hash", "label_id"], sample, rows.count()).drop("hash")
+    return rows.withColumn("fits", F.pmod(F.xxhash64("label_id", F.lit(SEED)), F.lit(2)) == 0)
 
 
 def ratio(docs: DataFrame, labels: DataFrame) -> np.ndarray:

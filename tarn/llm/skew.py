@@ -25,3 +25,12 @@ def join_spread(rows: DataFrame, table: DataFrame, keys: list[str], n: str, limi
         return rows.where(F.col(n) > limit).join(F.broadcast(hot.drop(n)), keys).unionByName(rows.where(F.col(n) <= limit).join(cold.drop(n), keys))
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
     return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
+
+
+def least_hashed(df: DataFrame, hashes: list[str], n: int, total: int) -> DataFrame:
+    """The n rows of least hashes, of total rows: all but about 2 * n are left out where they lie, by the first hash, so the
+    one task that orders the rest gets no more than these, however many partitions there are."""
+    share = 2 * n / max(total, 1)
+    if share < 1:
+        df = df.where(F.col(hashes[0]) < int(share * 2**64) - 2**63)
+    return df.orderBy(*hashes).limit(n)

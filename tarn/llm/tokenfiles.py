@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.llm.piece import slices
+from tarn.llm.skew import least_hashed
 
 MAGIC, HEAD = b"TRNZ", struct.Struct("<4sHH32sI")
 #: Pieces that surely start a pretoken: letters up to a punctuation mark or to a space before a non-blank (which the next
@@ -148,12 +149,13 @@ class Segment:
         return found
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, documents: int = 500, sample_bytes: int = 4_000_000, size: int = 65_536) -> bytes:
-    """A dictionary from the ids of a bounded sample: the documents of smallest hash, until sample_bytes of ids.
+def train_dictionary(docs: DataFrame, tokenizer: str, total: int, documents: int = 500, sample_bytes: int = 4_000_000, size: int = 65_536) -> bytes:
+    """A dictionary from the ids of a bounded sample: of total documents those of smallest hash, until sample_bytes of ids.
 
     Where the sample is too small to train on, there is none (empty bytes) and frames are compressed without one.
     """
-    some = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(documents)
+    some = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("hash"))
+    some = least_hashed(some, ["hash", "doc_id"], documents, total).drop("hash")
     samples, held = [], 0
     for row in some.repartition(8).mapInArrow(_ids(tokenizer), "ids binary").toLocalIterator():
         samples.append(bytes(row[0]))
@@ -184,7 +186,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    dictionary = train_dictionary(docs, tokenizer)
+    total, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    dictionary = train_dictionary(docs, tokenizer, total)
     mark = hashlib.sha256(dictionary).hexdigest() if dictionary else None
     spark.createDataFrame([(mark, dictionary)], "hash string, bytes binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
@@ -213,8 +216,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id
             yield flush()
 
     # as many ranges as the text needs; rows of one doc_id may lie in several, in the order of their hashes
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
     docs = docs.withColumn("hash", F.xxhash64("text"))
     ordered = docs.repartitionByRange(ranges, "doc_id", "hash").sortWithinPartitions("doc_id", "hash").drop("hash")
     ordered.mapInArrow(run, "part int, seq long, tokens long, segment binary").write.parquet(f"{path}/segments")
