@@ -105,3 +105,12 @@ def test_no_python_on_the_executors(docs):
     plan = mix_documents(docs(["a b c"]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert F is not None
+
+
+def test_words_are_runs_without_blanks(spark):
+    drawn = random.Random(5)
+    texts = [None, "", " ", " \t\n\x0b\x0c\r", "a", " a", "a ", "x x x", "é b c", "😀 \x1cx\x85y", "word is " * 500_000]
+    texts += ["".join(drawn.choice(" \t\n\x0b\x0c\rab\x1fé 😀x") for _ in range(drawn.randrange(40))) for _ in range(200)]
+    found = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", mixing.count_words(F.col("text")).alias("n"))
+    blanks = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
+    assert dict(found.collect()) == {i: sum(w != "" for w in (t or "").translate(blanks).split(" ")) for i, t in enumerate(texts)}
